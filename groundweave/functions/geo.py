@@ -9,19 +9,19 @@ HALF_WORLD = "20037508.34D"
 
 
 def mercator_x(lon: str) -> str:
-    return f"({lon} * {HALF_WORLD} / 180.0D)"
+    return f"(({lon}) * {HALF_WORLD} / 180.0D)"
 
 
 def mercator_y(lat: str) -> str:
-    return f"(ln(tan((90.0D + {lat}) * pi() / 360.0D)) * {HALF_WORLD} / pi())"
+    return f"(ln(tan((90.0D + ({lat})) * pi() / 360.0D)) * {HALF_WORLD} / pi())"
 
 
 def longitude(x: str) -> str:
-    return f"({x} / {HALF_WORLD} * 180.0D)"
+    return f"(({x}) / {HALF_WORLD} * 180.0D)"
 
 
 def latitude(y: str) -> str:
-    return f"(atan(exp({y} / {HALF_WORLD} * pi())) * 360.0D / pi() - 90.0D)"
+    return f"(atan(exp(({y}) / {HALF_WORLD} * pi())) * 360.0D / pi() - 90.0D)"
 
 
 def reproject_parts(parts: str, src: str, dst: str) -> str:

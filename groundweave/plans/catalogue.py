@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import q_features  # noqa: F401
+from . import q_features, q_rasters  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

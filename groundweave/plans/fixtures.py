@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _zone_case(values) -> str:
-    return "CASE zone " + " ".join(f"WHEN {z} THEN {v}" for z, v in enumerate(values)) + " END"
+def _by_zone(values, div: str) -> str:
+    """Lookup by zone, in the array spelling of the engine (0-based or 1-based)."""
+    if div == "div":
+        return "array(" + ", ".join(map(str, values)) + ")[zone]"
+    return "([" + ", ".join(map(str, values)) + "])[zone + 1]"
 
 
 # Base colours per zone: asphalt, concrete, vegetation, dry grass, soil, sand, water.
@@ -28,7 +31,7 @@ CAR = {"b1": 200, "b2": 40, "b3": 40}
 
 def band_sql(band: str, div: str) -> str:
     """Value of a band, in the integer-division spelling of the engine."""
-    base = _zone_case(ZONE_BANDS[band])
+    base = _by_zone(ZONE_BANDS[band], div)
     value = f"{base} + n"
     if band in CAR:
         shadow = f"({base} + n) {div} 3"
@@ -80,14 +83,16 @@ def classes(spark: SparkSession) -> DataFrame:
 
 
 def nearest_class_sql(r: str, g: str, b: str) -> str:
-    """1-based index of the nearest preset colour as a chain over literal colours."""
-    dist = [
-        f"(({r}-{row[4]})*({r}-{row[4]})+({g}-{row[5]})*({g}-{row[5]})+({b}-{row[6]})*({b}-{row[6]}))"
-        for row in preset_rows()
+    """1-based index of the nearest preset colour as integer arithmetic on literals.
+
+    |x|^2 is the same for every class, so |c|^2 - 2 x.c decides; the index is packed
+    into the low digits, so the least value carries the first nearest class.
+    """
+    terms = [
+        f"{16 * (cr * cr + cg * cg + cb * cb) + i} - {32 * cr}*{r} - {32 * cg}*{g} - {32 * cb}*{b}"
+        for i, _, _, _, cr, cg, cb, _, _ in preset_rows()
     ]
-    # Distance and index packed in one integer, so the least value carries the first index.
-    packed = ", ".join(f"{d} * 16 + {i}" for i, d in enumerate(dist, start=1))
-    return f"cast(least({packed}) % 16 AS int)"
+    return f"cast(pmod(least({', '.join(terms)}), 16) AS int)"
 
 
 def labels13(spark: SparkSession, sf: str) -> DataFrame:
