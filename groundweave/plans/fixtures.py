@@ -88,11 +88,12 @@ def nearest_class_sql(r: str, g: str, b: str) -> str:
     |x|^2 is the same for every class, so |c|^2 - 2 x.c decides; the index is packed
     into the low digits, so the least value carries the first nearest class.
     """
-    terms = [
-        f"{16 * (cr * cr + cg * cg + cb * cb) + i} - {32 * cr}*{r} - {32 * cg}*{g} - {32 * cb}*{b}"
+    rows = ", ".join(
+        f"struct({16 * (cr * cr + cg * cg + cb * cb) + i}, {32 * cr}, {32 * cg}, {32 * cb})"
         for i, _, _, _, cr, cg, cb, _, _ in preset_rows()
-    ]
-    return f"cast(pmod(least({', '.join(terms)}), 16) AS int)"
+    )
+    best = f"array_min(transform(array({rows}), c -> c.col1 - c.col2 * p.col1 - c.col3 * p.col2 - c.col4 * p.col3))"
+    return f"cast(pmod(transform(array(struct({r}, {g}, {b})), p -> {best})[0], 16) AS int)"
 
 
 def labels13(spark: SparkSession, sf: str) -> DataFrame:
