@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.palette import preset_rows
-from ..plans.fixtures import ZONE_BANDS, band_sql
+from ..plans.fixtures import SCORES, SCORE_STEPS, ZONE_BANDS, band_sql
 
 CLASS_VALUES = ", ".join(
     f"({i}, '{cid}', '{name}', '{color}', {r}, {g}, {b}, '{kind}', '{comp}')"
@@ -27,7 +27,7 @@ CTES = {
             ((b1-r)*(b1-r)+(b2-g)*(b2-g)+(b3-b)*(b3-b)) * 100 + class_idx) AS label
         FROM scene, classes GROUP BY raster_id, row, col""",
     "lab": "SELECT s.*, l.label FROM px s JOIN labels13 l USING (raster_id, row, col)",
-    "vec": """SELECT vec_id, list_transform(list_slice(embedding, 1, 6), v -> v::DOUBLE) AS x, label FROM embeddings""",
+    "vec": """SELECT vec_id, CAST(list_slice(embedding, 1, 6) AS DOUBLE[]) AS x, label FROM embeddings""",
     "rasters": """SELECT o_orderkey AS raster_id,
             '/in/' || (o_custkey % 7) || '/scene ' || o_orderkey || (CASE o_orderkey % 5 WHEN 0 THEN '.tif'
               WHEN 1 THEN '.TIFF' WHEN 2 THEN '.jpg' WHEN 3 THEN '.png' ELSE '.txt' END) AS path,
@@ -59,6 +59,12 @@ CTES = {
             ('box',1,1,0,0), ('box',1,2,1,0), ('box',1,3,1,1), ('box',1,4,0,1), ('box',1,5,0,0),
             ('box',2,1,0.25,0.25), ('box',2,2,0.75,0.25), ('box',2,3,0.75,0.75), ('box',2,4,0.25,0.75), ('box',2,5,0.25,0.25)
         ) AS t(k, part, pos, dx, dy) ON k = kind""",
+    "clusters": f"""SELECT k // 13 AS model_id, CAST(k % 13 + 1 AS INT) AS cluster, CAST((k * 37 + z * 5) % 256 AS INT) AS r,
+            CAST((k * 73 + z * 3) % 256 AS INT) AS g,
+            CAST(CASE WHEN k % 3 = 0 THEN (k * 37 + z * 5 + k % 11) % 256 ELSE (k * 29) % 256 END AS INT) AS b,
+            1 + (k * 7919) % 1000 AS pixels,
+            {', '.join(f"((k * {step} + z) % 101) / 100.0::DOUBLE AS {name}" for name, step in zip(SCORES, SCORE_STEPS))}
+        FROM (SELECT p_partkey AS k, p_size AS z FROM part)""",
     "progress": """SELECT user_id % 20 AS task_id, ts, event_id AS seq,
             CASE event_type WHEN 'view' THEN 'Loading raster' WHEN 'click' THEN 'Feature extraction'
               WHEN 'purchase' THEN 'KMeans clustering' WHEN 'signup' THEN 'Pixel assignment' ELSE 'Saving output' END AS phase,
@@ -69,7 +75,7 @@ CTES = {
 def sql(deps: str, body: str, **extra: str) -> str:
     """A statement over the named shared CTEs, then the given ones, in order."""
     parts = [f"{d} AS ({CTES[d]})" for d in deps.split()] + [f"{n} AS ({t})" for n, t in extra.items()]
-    return f"WITH RECURSIVE {', '.join(parts)} {body}"
+    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + body
 
 
 def mirror(value: str, size: str) -> str:

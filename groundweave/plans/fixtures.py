@@ -92,8 +92,8 @@ def nearest_class_sql(r: str, g: str, b: str) -> str:
         f"struct({16 * (cr * cr + cg * cg + cb * cb) + i}, {32 * cr}, {32 * cg}, {32 * cb})"
         for i, _, _, _, cr, cg, cb, _, _ in preset_rows()
     )
-    best = f"array_min(transform(array({rows}), c -> c.col1 - c.col2 * p.col1 - c.col3 * p.col2 - c.col4 * p.col3))"
-    return f"cast(pmod(transform(array(struct({r}, {g}, {b})), p -> {best})[0], 16) AS int)"
+    best = f"array_min(transform(array({rows}), c -> c.col1 - c.col2 * p.r - c.col3 * p.g - c.col4 * p.b))"
+    return f"cast(pmod(transform(array(named_struct('r', {r}, 'g', {g}, 'b', {b})), p -> {best})[0], 16) AS int)"
 
 
 def labels13(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,3 +196,21 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
         "WHEN 'purchase' THEN 'KMeans clustering' WHEN 'signup' THEN 'Pixel assignment' ELSE 'Saving output' END AS phase",
         "cast(cast(floor(value) AS bigint) % 100 AS int) AS done", "100 AS total",
     )
+
+
+# Score names of a cluster, in the order they are computed.
+SCORES = ["veg", "road", "water", "asphalt", "line", "water_conf", "dry", "sand", "grass",
+          "gray", "dark_gray", "achro", "warm", "size", "blue_dom"]
+SCORE_STEPS = [7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61]
+
+
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of 13 clusters with colours, counts and scores spread over all rules."""
+    p = table(spark, sf, "part").selectExpr("p_partkey AS k", "p_size AS size0")
+    return p.selectExpr(
+        "k div 13 AS model_id", "cast(k % 13 + 1 AS int) AS cluster",
+        "cast((k * 37 + size0 * 5) % 256 AS int) AS r", "cast((k * 73 + size0 * 3) % 256 AS int) AS g",
+        "cast(CASE WHEN k % 3 = 0 THEN (k * 37 + size0 * 5 + k % 11) % 256 ELSE (k * 29) % 256 END AS int) AS b",
+        "1 + (k * 7919) % 1000 AS pixels",
+        *[f"((k * {step} + size0) % 101) / 100.0D AS {name}" for name, step in zip(SCORES, SCORE_STEPS)],
+    )
