@@ -21,7 +21,9 @@ def percentile(df: DataFrame, keys: list[str], value: str, p: float, out: str, b
     A histogram finds the bucket that holds the two wanted ranks; only that bucket's
     distinct values are ranked.
     """
-    on = lambda a, b, extra=(): a.join(b, [*keys, *extra]) if keys or extra else a.crossJoin(b)
+    if not keys:
+        return percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, p, out, buckets).drop("_all")
+    on = lambda a, b, extra=(): a.join(b, [*keys, *extra])
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
     placed = on(counts, span).withColumn(

@@ -55,14 +55,34 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(small: DataFrame) -> DataFrame:
+    """A materialised per-key table, hinted for broadcast only within the row bound."""
+    if getattr(small, "_checked_size", False):
+        return small
+    small = cut(small, "keyed")
+    if small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        small = F.broadcast(small)
+    small._checked_size = True
+    return small
+
+
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join per-key values to a pixel-sized table.
 
-    ``small`` is materialised and counted: within the bound it is broadcast, so the
-    pixels are not shuffled; beyond it the join is left to AQE, which splits a hot
-    key's partition.
+    Within the bound the small side is broadcast, so the pixels are not shuffled; beyond
+    it the join is left to AQE, which splits a hot key's partition.
     """
-    small = cut(small, "keyed")
-    if small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return big.join(bounded(small), on, how)
+
+
+def each_of(df: DataFrame, table: DataFrame, limit: int = 64) -> DataFrame:
+    """Every row of ``df`` with every row of a tiny fixed table (classes, candidates).
+
+    The table is checked to have at most ``limit`` rows and becomes a literal array, so
+    no join is planned.
+    """
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"expected at most {limit} rows")
+    structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in table.schema]) for r in rows]
+    return df.withColumn("_each", F.explode(F.array(*structs))).select("*", "_each.*").drop("_each")
