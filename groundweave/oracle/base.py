@@ -54,10 +54,10 @@ CTES = {
             1000.0::DOUBLE*rid + 0.5*(x0 + dx*s) AS x, 500000.0::DOUBLE - 0.5*(y0 + dy*s) AS y
         FROM anchors JOIN (VALUES
             ('point',1,1,0::DOUBLE,0::DOUBLE),
-            ('line',1,1,0,0), ('line',1,2,1,0.5), ('line',1,3,1.5,0.25),
+            ('line',1,1,0,0), ('line',1,2,1,0.5), ('line',1,3,1.5,0.3),
             ('triangle',1,1,0,0), ('triangle',1,2,1,0), ('triangle',1,3,0,1), ('triangle',1,4,0,0),
             ('box',1,1,0,0), ('box',1,2,1,0), ('box',1,3,1,1), ('box',1,4,0,1), ('box',1,5,0,0),
-            ('box',2,1,0.25,0.25), ('box',2,2,0.75,0.25), ('box',2,3,0.75,0.75), ('box',2,4,0.25,0.75), ('box',2,5,0.25,0.25)
+            ('box',2,1,0.3,0.3), ('box',2,2,0.7,0.3), ('box',2,3,0.7,0.7), ('box',2,4,0.3,0.7), ('box',2,5,0.3,0.3)
         ) AS t(k, part, pos, dx, dy) ON k = kind""",
     "clusters": f"""SELECT k // 13 AS model_id, CAST(k % 13 + 1 AS INT) AS cluster, CAST((k * 37 + z * 5) % 256 AS INT) AS r,
             CAST((k * 73 + z * 3) % 256 AS INT) AS g,

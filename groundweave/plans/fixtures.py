@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.palette import preset_classes, preset_rows
-from ..session import attach
+from ..session import attach, cut
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,22 +42,39 @@ def band_sql(band: str, div: str) -> str:
     return f"cast(least(255, greatest(0, {value})) AS int)"
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def pixel_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The test rasters as a pixel table in the shared folder, written once per application.
+
+    raster_id, row, col, zone, b1..b4, height, width, and the nearest preset class ``label``.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLES:
+        e = table(spark, sf, "events").select("event_id", "user_id")
+        e = e.selectExpr(
+            "event_id div 100 AS mrow",
+            "cast(event_id % 100 AS int) AS col",
+            "(event_id * 7919 + user_id * 31) % 17 - 8 AS n",
+        )
+        e = e.selectExpr("*", "cast(((mrow div 20) * 3 + (col div 25) * 5) % 7 AS int) AS zone")
+        px = e.selectExpr(
+            "cast(mrow div 50 AS int) AS raster_id",
+            "cast(mrow % 50 AS int) AS row",
+            "col",
+            "zone",
+            *[f"{band_sql(b, 'div')} AS {b}" for b in ZONE_BANDS],
+        )
+        px = cut(px.repartition("raster_id", F.expr("row div 512")), "bands")
+        px = attach(px, dims(px), ["raster_id"])
+        _TABLES[key] = cut(px.selectExpr("*", f"{nearest_class_sql('b1', 'b2', 'b3')} AS label"), "pixels")
+    return _TABLES[key]
+
+
 def scene(spark: SparkSession, sf: str) -> DataFrame:
-    """Pixels of the test rasters: raster_id, row, col, zone, b1..b4."""
-    e = table(spark, sf, "events").select("event_id", "user_id")
-    e = e.selectExpr(
-        "event_id div 100 AS mrow",
-        "cast(event_id % 100 AS int) AS col",
-        "(event_id * 7919 + user_id * 31) % 17 - 8 AS n",
-    )
-    e = e.selectExpr("*", "cast(((mrow div 20) * 3 + (col div 25) * 5) % 7 AS int) AS zone")
-    return e.selectExpr(
-        "cast(mrow div 50 AS int) AS raster_id",
-        "cast(mrow % 50 AS int) AS row",
-        "col",
-        "zone",
-        *[f"{band_sql(b, 'div')} AS {b}" for b in ZONE_BANDS],
-    )
+    """Pixels of the test rasters: raster_id, row, col, zone, b1..b4, height, width."""
+    return pixel_table(spark, sf).drop("label")
 
 
 def dims(pixels: DataFrame) -> DataFrame:
@@ -68,6 +85,8 @@ def dims(pixels: DataFrame) -> DataFrame:
 
 def sized(pixels: DataFrame) -> DataFrame:
     """Pixels with their raster's height and width."""
+    if "height" in pixels.columns:
+        return pixels
     return attach(pixels, dims(pixels), ["raster_id"])
 
 
@@ -97,14 +116,12 @@ def nearest_class_sql(r: str, g: str, b: str) -> str:
 
 
 def labels13(spark: SparkSession, sf: str) -> DataFrame:
-    return scene(spark, sf).selectExpr(
-        "raster_id", "row", "col", f"{nearest_class_sql('b1', 'b2', 'b3')} AS label"
-    )
+    return pixel_table(spark, sf).select("raster_id", "row", "col", "label")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Scene pixels with their preset label in one row."""
-    return scene(spark, sf).selectExpr("*", f"{nearest_class_sql('b1', 'b2', 'b3')} AS label")
+    return pixel_table(spark, sf)
 
 
 def geoms(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,6 +129,9 @@ def geoms(spark: SparkSession, sf: str) -> DataFrame:
 
     Pixel-unit anchors keep a quarter offset, so that no edge lies on a pixel border.
     """
+    key = (spark.sparkContext.applicationId, f"{sf}#geoms")
+    if key in _TABLES:
+        return _TABLES[key]
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     s = s.selectExpr(
         "s_suppkey AS feature_id",
@@ -126,21 +146,23 @@ def geoms(spark: SparkSession, sf: str) -> DataFrame:
     ring = lambda pts: "array(" + ", ".join(at(*p) for p in pts) + ")"
     shapes = {
         "point": [[("0D", "0D")]],
-        "line": [[("0D", "0D"), ("s", "s*0.5D"), ("s*1.5D", "s*0.25D")]],
+        "line": [[("0D", "0D"), ("s", "s*0.5D"), ("s*1.5D", "s*0.3D")]],
         "triangle": [[("0D", "0D"), ("s", "0D"), ("0D", "s"), ("0D", "0D")]],
         "box": [
             [("0D", "0D"), ("s", "0D"), ("s", "s"), ("0D", "s"), ("0D", "0D")],
-            [("s*0.25D", "s*0.25D"), ("s*0.75D", "s*0.25D"), ("s*0.75D", "s*0.75D"), ("s*0.25D", "s*0.75D"), ("s*0.25D", "s*0.25D")],
+            [("s*0.3D", "s*0.3D"), ("s*0.7D", "s*0.3D"), ("s*0.7D", "s*0.7D"), ("s*0.3D", "s*0.7D"), ("s*0.3D", "s*0.3D")],
         ],
     }
     parts = "CASE " + " ".join(
         f"WHEN kind = '{k}' THEN array({', '.join(ring(r) for r in rings)})" for k, rings in shapes.items()
     ) + " END"
-    return s.selectExpr(
+    made = s.selectExpr(
         "layer_idx", "feature_id", "kind",
         f"CASE WHEN feature_id % 10 = 9 THEN filter({parts}, p -> false) ELSE {parts} END AS parts",
         "3857 AS epsg",
     )
+    _TABLES[key] = cut(made, "geoms")
+    return _TABLES[key]
 
 
 def layers(spark: SparkSession, sf: str) -> DataFrame:

@@ -360,8 +360,8 @@ def apply_palette(spark, sf):
 
 
 @query("rgb_to_label", "raster_id:i row:i col:i label:i", sql("scene classes", """SELECT raster_id, row, col, coalesce(class_idx, 0) AS label FROM (
-    SELECT s.*, coalesce(c.r, 0) + CASE WHEN col % 9 = 0 THEN 1 ELSE 0 END AS r2, coalesce(c.g, 0) AS g2, coalesce(c.b, 0) AS b2 FROM scene s LEFT JOIN classes c ON c.class_idx = least(13, zone * 3)) p
-    LEFT JOIN classes q ON q.r = r2 AND q.g = g2 AND q.b = b2"""))
+    SELECT s.*, coalesce(c.r, 0) + CASE WHEN col % 9 = 0 THEN 1 ELSE 0 END AS pr, coalesce(c.g, 0) AS pg, coalesce(c.b, 0) AS pb FROM scene s LEFT JOIN classes c ON c.class_idx = least(13, zone * 3)) p
+    LEFT JOIN classes q ON q.r = pr AND q.g = pg AND q.b = pb"""))
 def rgb_to_label(spark, sf):
     rgb = apply_palette(spark, sf).withColumn("r", F.expr("r + CASE WHEN col % 9 = 0 THEN 1 ELSE 0 END"))
     return mt.rgb_to_label(rgb, classes(spark))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -86,3 +87,14 @@ def each_of(df: DataFrame, table: DataFrame, limit: int = 64) -> DataFrame:
         raise ValueError(f"expected at most {limit} rows")
     structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in table.schema]) for r in rows]
     return df.withColumn("_each", F.explode(F.array(*structs))).select("*", "_each.*").drop("_each")
+
+
+def where_once(df: DataFrame, fields: list[str], condition: str) -> DataFrame:
+    """Filter on a condition that uses derived columns many times.
+
+    A plain filter is pushed below the projection with every use replaced by the column's
+    whole expression; here each field is evaluated once per row.
+    """
+    bound = re.sub(r"\b(" + "|".join(fields) + r")\b", r"x.\1", condition)
+    packed = ", ".join(f"'{f}', {f}" for f in fields)
+    return df.where(f"exists(array(named_struct({packed})), x -> {bound})")
