@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stats import percentile, small_domain_percentile
-from ..session import attach
+from ..session import attach, cut
 from .focal import KEYS, box_sums, entropy, gaussian, gradient
 
 EPS = "1e-6D"
@@ -160,3 +160,40 @@ def segment_features(pixels: DataFrame, segment: str = "segment", bands: list[st
         F.stddev_pop(F.expr("b1 + b2 + b3")).alias("gray_std3"),
         F.avg(F.expr(NDVI)).alias("ndvi"),
     ).withColumn("gray_std", F.col("gray_std3") / 3).drop("gray_std3")
+
+
+def superpixels(pixels: DataFrame, bands: list[str] = ("b1", "b2", "b3"), n_segments: int | None = None,
+                compactness: float = 0.01, rounds: int = 10) -> DataFrame:
+    """Segment number of every pixel: k-means in colour and position around grid seeds.
+
+    A pixel may join the seeds of its own grid cell and the eight around it. The few
+    centres are copied to their neighbour cells and packed per cell, so a pixel meets them
+    in one equality join and no pair becomes a row.
+    """
+    bands = list(bands)
+    target = str(n_segments) if n_segments else "greatest(5000, cast(height AS bigint) * width div 200)"
+    px = pixels.selectExpr(
+        *KEYS, *[f"cast({b} AS double) AS {b}" for b in bands],
+        f"cast(greatest(1, floor(sqrt(cast(height AS double) * width / ({target})))) AS int) AS step",
+        "height", "width",
+    ).selectExpr("*", "cast(row div step AS int) AS gr", "cast(col div step AS int) AS gc",
+                 "cast((width + step - 1) div step AS int) AS across")
+    px = cut(px, "cells")
+    dims_of = ["raster_id", "cell"]
+
+    def centres(labelled):
+        means = [F.avg(c).alias(c) for c in ("row", "col", *bands)]
+        return labelled.groupBy("raster_id", "segment").agg(*means, F.max("step").alias("step"), F.max("across").alias("across"))
+
+    labelled = px.withColumn("segment", F.expr("gr * across + gc"))
+    for _ in range(rounds):
+        c = centres(labelled).withColumn("c", F.struct("segment", "row", "col", *bands))
+        near = c.selectExpr("raster_id", "c", "across", "cast(segment div across AS int) AS r", "cast(segment % across AS int) AS q",
+                            "explode(array(-1, 0, 1)) AS dr").selectExpr("*", "explode(array(-1, 0, 1)) AS dc").where(
+            "q + dc BETWEEN 0 AND across - 1 AND r + dr >= 0")
+        packed = near.groupBy("raster_id", F.expr("(r + dr) * across + q + dc").alias("cell")).agg(F.collect_list("c").alias("cs"))  # at most 9
+        colour = " + ".join(f"(c.{b} - {b}) * (c.{b} - {b})" for b in bands)
+        dist = f"((c.row - row) * (c.row - row) + (c.col - col) * (c.col - col)) / cast(step * step AS double) + ({colour}) / {compactness * compactness!r}D"
+        best = f"array_min(transform(cs, c -> struct({dist} AS d, c.segment AS s))).s"
+        labelled = cut(px.withColumn("cell", F.expr("gr * across + gc")).join(packed, dims_of).withColumn("segment", F.expr(best)).drop("cell", "cs"), "segments")
+    return labelled.select(*KEYS, "segment")

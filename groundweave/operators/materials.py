@@ -7,6 +7,8 @@ broadcast, pixels never take part.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import rules
@@ -202,19 +204,19 @@ def guardrails(clusters: DataFrame, classes: DataFrame) -> DataFrame:
         ("m = 'BM_ASPHALT' AND sand >= 0.50D AND asphalt < 0.25D", only("BM_SAND")),
         (f"m IN {sql_list(veg)} AND (water_like OR water_conf >= 0.30D)", only("BM_WATER")),
     ]
-    df = clusters.withColumn("road_like", F.greatest("road", "asphalt", "line")).withColumns({
-        "water_like": F.expr("water_conf >= 0.28D OR (water >= 0.45D AND road_like < 0.35D AND veg < 0.45D)"),
-        "m": F.col("material"), "stop": F.lit(False),
-    })
-    for n, (where, target) in enumerate(steps):
-        if target is None:
-            continue
-        if n == 0:  # a remapped road cluster takes no further rule
-            df = df.withColumn("stop", F.expr(where))
-            df = df.withColumn("m", F.expr(f"CASE WHEN stop THEN {target} ELSE m END"))
-        else:
-            df = df.withColumn("m", F.expr(f"CASE WHEN NOT stop AND {where} THEN {target} ELSE m END"))
-    return df.withColumn("material", F.col("m")).drop("m", "stop", "road_like", "water_like")
+    # The steps run as one fold over the current material: each step sees the last one's
+    # result without the optimizer copying the whole chain into every use. Step 0 stops
+    # the fold: a remapped road cluster takes no further rule.
+    arms = " ".join(
+        f"WHEN {n} THEN CASE WHEN {where} THEN named_struct('m', {target}, 'stop', {'true' if n == 0 else 'false'}) ELSE s END"
+        for n, (where, target) in enumerate(steps) if target is not None)
+    road_like = "greatest(road, asphalt, line)"
+    water_like = f"(water_conf >= 0.28D OR (water >= 0.45D AND {road_like} < 0.35D AND veg < 0.45D))"
+    arms = arms.replace("water_like", water_like).replace("road_like", road_like)
+    arms = re.sub(r"(WHEN|AND) m (=|IN)", r"\1 s.m \2", arms)
+    fold = (f"aggregate(sequence(0, {len(steps) - 1}), named_struct('m', material, 'stop', false), "
+            f"(s, n) -> CASE WHEN s.stop THEN s ELSE CASE n {arms} ELSE s END END).m")
+    return clusters.withColumn("material", F.expr(fold))
 
 
 def map_clusters(clusters: DataFrame, classes: DataFrame, priors: DataFrame | None = None) -> DataFrame:

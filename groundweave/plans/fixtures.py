@@ -213,7 +213,7 @@ def vectors(spark: SparkSession, sf: str, n: int = 6) -> DataFrame:
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     """Progress events: one pipeline task per user group."""
     return table(spark, sf, "events").selectExpr(
-        "user_id % 20 AS task_id", "ts", "event_id AS seq",
+        "user_id % 20 AS task_id", "cast(ts AS timestamp) AS ts", "event_id AS seq",
         "CASE event_type WHEN 'view' THEN 'Loading raster' WHEN 'click' THEN 'Feature extraction' "
         "WHEN 'purchase' THEN 'KMeans clustering' WHEN 'signup' THEN 'Pixel assignment' ELSE 'Saving output' END AS phase",
         "cast(cast(floor(value) AS bigint) % 100 AS int) AS done", "100 AS total",

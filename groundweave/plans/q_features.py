@@ -163,3 +163,8 @@ def gaussian_std(spark, sf):
 def segment_features(spark, sf):
     px = scene(spark, sf).withColumn("segment", F.expr("cast((row div 10) * 10 + col div 10 AS int)"))
     return ft.segment_features(px)
+
+
+@query("superpixels", PX + "segment:l")
+def superpixels(spark, sf):
+    return ft.superpixels(sized(scene(spark, sf)), n_segments=60, rounds=4)
