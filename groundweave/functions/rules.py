@@ -169,23 +169,3 @@ def chains() -> list[tuple[list[str], list[tuple[str, float, bool]]]]:
             parsed.append((cond, float(delta.rstrip("*")), delta.endswith("*")))
         out.append((SETS.get(names, [names]), parsed))
     return out
-
-
-def rule_rows() -> list[tuple]:
-    """The chains as rows: material, chain, tier, conditions (score, op, other, limit), delta, damped."""
-    rows = []
-    for n, (names, tiers) in enumerate(chains()):
-        for tier, (cond, delta, damped) in enumerate(tiers):
-            parts = []
-            for c in ([] if cond == "true" else cond.split(" AND ")):
-                left, op, right = re.match(r"(\w+)(>=|<|>)(.+)", c.replace(" ", "")).groups()
-                number = re.fullmatch(r"[0-9.]+", right)
-                parts.append((left, op, None if number else right, float(right) if number else None))
-            rows += [(name, n, tier, parts, delta, damped) for name in names]
-    return rows
-
-
-RULE_SCHEMA = (
-    "material STRING, chain INT, tier INT, "
-    "conds ARRAY<STRUCT<score: STRING, op: STRING, other: STRING, bound: DOUBLE>>, delta DOUBLE, damped BOOLEAN"
-)

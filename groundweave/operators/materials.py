@@ -112,24 +112,24 @@ def prevalence_blend(costs: DataFrame, priors: DataFrame | None = None) -> DataF
 
 def semantic_penalty(pairs: DataFrame) -> DataFrame:
     """Weighted distance to each material's target scores plus the rule table's deltas."""
-    spark = pairs.sparkSession
-    table = F.broadcast(spark.createDataFrame(rules.rule_rows(), rules.RULE_SCHEMA))  # fixed size
-    names = SCORES + ["freq"]
-    scores = "map(" + ", ".join(f"'{s}', cast({s} AS double)" for s in names) + ")"
-    holds = (
-        "forall(conds, c -> CASE c.op WHEN '>=' THEN scores[c.score] >= c.bound WHEN '<' THEN scores[c.score] < c.bound "
-        "ELSE scores[c.score] > scores[c.other] END)"
-    )
-    damping = "CASE " + " ".join(f"WHEN veg >= {lim}D THEN {f}D" for lim, f in rules.DAMPING) + " ELSE 1D END"
-    keyed = pairs.select("model_id", "cluster", "material", "veg", F.expr(scores).alias("scores"))
-    fired = keyed.join(table, "material").where(holds)
-    chain = fired.groupBy("model_id", "cluster", "material", "chain").agg(
-        F.min_by(F.expr(f"delta * CASE WHEN damped THEN {damping} ELSE 1D END"), "tier").alias("delta"))
-    deltas = chain.groupBy("model_id", "cluster", "material").agg(F.sum("delta").alias("delta"))
+    names = [*SCORES, "freq", "material"]
+    arms = []
+    for material in rules.ALL:
+        chains = [tiers for members, tiers in rules.chains() if material in members]
+        terms = [
+            "CASE " + " ".join(f"WHEN {cond} THEN {delta!r}D{' * damping' if damped else ''}" for cond, delta, damped in tiers) + " ELSE 0D END"
+            for tiers in chains
+        ]
+        arms.append(f"WHEN '{material}' THEN {' + '.join(terms) or '0D'}")
+    damping = "(CASE " + " ".join(f"WHEN veg >= {lim}D THEN {f}D" for lim, f in rules.DAMPING) + " ELSE 1D END)"
+    body = f"CASE material {' '.join(arms)} ELSE 0D END".replace("damping", damping)
+    body = re.sub(r"\b(" + "|".join(names) + r")\b(?!')", r"x.\1", body)
+    # The rules are evaluated inside one lambda: too many branches for a generated method.
+    packed = ", ".join(f"'{n}', {n}" for n in names)
+    deltas = f"transform(array(named_struct({packed})), x -> {body})[0]"
     axes = " + ".join(
         f"{w}D * abs({axis} - coalesce({_sql_map(targets)}[material], 0D))" for axis, w, targets in rules.AXES)
-    return pairs.join(deltas, ["model_id", "cluster", "material"], "left").withColumn(
-        "penalty", F.expr(f"{axes} + coalesce(delta, 0D)")).drop("delta")
+    return pairs.withColumn("penalty", F.expr(f"{axes} + {deltas}"))
 
 
 def blend(costs: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ def batch_summary(results: DataFrame, keys: list[str]) -> DataFrame:
 
 def duration_text(seconds: str) -> str:
     """Readable duration: below 0.01 s, below a minute, or minutes and seconds."""
-    return (f"CASE WHEN {seconds} < 0.01D THEN '<0.01s' WHEN {seconds} < 60 THEN format_string('%.2fs', {seconds}) "
-            f"ELSE format_string('%dm %.1fs', cast(floor({seconds} / 60) AS bigint), {seconds} - 60 * floor({seconds} / 60)) END")
+    return (f"CASE WHEN {seconds} < 0.01D THEN '<0.01s' WHEN {seconds} < 60 THEN format_string('%.2fs', bround({seconds}, 2)) "
+            f"ELSE format_string('%dm %.1fs', cast(floor({seconds} / 60) AS bigint), bround({seconds} - 60 * floor({seconds} / 60), 1)) END")
 
 
 def stage_table(stages: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def stage_table(stages: DataFrame, keys: list[str]) -> DataFrame:
     total = per.groupBy(*keys).agg(F.sum("seconds").alias("total"))
     rows = per.join(total, keys).unionByName(total.selectExpr(*keys, "'TOTAL' AS stage", "total AS seconds", "total"))
     return rows.selectExpr(*keys, "stage", "seconds", f"{duration_text('seconds')} AS time_text",
-                           "format_string('%.1f%%', CASE WHEN total > 0 THEN seconds / total * 100 ELSE 0D END) AS share_text")
+                           "format_string('%.1f%%', bround(CASE WHEN total > 0 THEN seconds / total * 100 ELSE 0D END, 1)) AS share_text")
 
 
 # Weight of each phase, the default weight, and the total per pipeline.
