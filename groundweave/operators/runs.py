@@ -268,7 +268,7 @@ def nearest_source(targets: DataFrame, pixels: DataFrame, source: str, start: in
 
     Minimises (squared distance, source row, source column). ``pixels`` is the dense
     raster (raster_id, row, col, height, width) and ``source`` a condition over it. Only
-    tiles near a target are searched; the radius doubles for targets still unresolved.
+    tiles near a target are searched; the radius grows for targets still unresolved.
     """
     spark = targets.sparkSession
     todo = cut(targets.select("raster_id", "row", "col").distinct(), "targets")
@@ -307,5 +307,5 @@ def nearest_source(targets: DataFrame, pixels: DataFrame, source: str, start: in
         todo = cut(todo.join(found, ["raster_id", "row", "col"], "left_anti"), "targets")
         if todo.isEmpty():
             break
-        radius = min(reach, radius * 2)
+        radius = min(reach, radius * 4)
     return targets.join(done, ["raster_id", "row", "col"], "left")
