@@ -128,7 +128,7 @@ def silhouette(df: DataFrame, feats: list[str], label: str = "label", sample: in
     spark = df.sparkSession
     keyed = df.select(*feats, label).withColumn("_all", F.lit(0))
     digest = f"md5(concat_ws('/', {', '.join(feats)}))"
-    taken = first_by_hash(keyed, ["_all"], digest, str(sample)).drop("_all")
+    taken = first_by_hash(keyed, ["_all"], digest, sample).drop("_all")
     pdf = taken.toPandas()
     labels, points = pdf[label].to_numpy(), pdf[feats].to_numpy(dtype=float)
     ids, inverse, sizes = np.unique(labels, return_inverse=True, return_counts=True)
@@ -221,7 +221,7 @@ def recommend_for(df: DataFrame, feats: list[str], lo: int = 2, hi: int = 10, ma
     """Fit k = lo..hi on one raster's standardised features and recommend a k."""
     from .sampling import first_by_hash
 
-    rows = finite_rows(first_by_hash(df.withColumn("_all", F.lit(0)), ["_all"], f"md5(concat_ws('/', {', '.join(feats)}))", str(max_samples)).drop("_all"), feats)
+    rows = finite_rows(first_by_hash(df.withColumn("_all", F.lit(0)), ["_all"], f"md5(concat_ws('/', {', '.join(feats)}))", max_samples).drop("_all"), feats)
     n = rows.count()
     if n < 50:
         return max(lo, 3)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import attach
+
 BUCKETS = 4096
 PIXEL_HASH = "md5(concat_ws('/', raster_id, row, col))"
 
@@ -13,20 +15,20 @@ def hash_int(text: str, modulus: str) -> str:
     return f"cast(conv(substring(md5({text}), 1, 8), 16, 10) AS bigint) % ({modulus})"
 
 
-def first_by_hash(df: DataFrame, keys: list[str], digest: str, k: str) -> DataFrame:
+def first_by_hash(df: DataFrame, keys: list[str], digest: str, k: int) -> DataFrame:
     """The ``k`` rows per key with the smallest digests, exact for any key size.
 
-    Rows are counted per leading digits of the digest; only buckets needed to reach k
-    are ranked, so a hot key never gathers in one task. ``k`` is SQL over the row.
+    Rows are counted per leading digits of the digest; rows outside the few buckets needed
+    to reach k are dropped before any shuffle, and ranks are taken within a bucket, so a
+    hot key never gathers in one task.
     """
-    df = df.withColumn("_h", F.expr(digest)).withColumn("_k", F.expr(k)).withColumn(
-        "_b", F.expr("cast(conv(substring(_h, 1, 3), 16, 10) AS int)"))
+    df = df.withColumn("_h", F.expr(digest)).withColumn("_b", F.expr("cast(conv(substring(_h, 1, 3), 16, 10) AS int)"))
     counts = df.groupBy(*keys, "_b").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*keys, "_b", before.alias("_before"))
-    ranked = df.join(counts, [*keys, "_b"]).where("_before < _k")
+    needed = counts.select(*keys, "_b", before.alias("_before")).where(f"_before < {k}")
+    ranked = attach(df, needed, [*keys, "_b"], "inner")
     rank = F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_h"))
-    return ranked.withColumn("_n", F.col("_before") + rank).where("_n <= _k").drop("_h", "_k", "_b", "_before", "_n")
+    return ranked.withColumn("_n", F.col("_before") + rank).where(f"_n <= {k}").drop("_h", "_b", "_before", "_n")
 
 
 def sample_windows(dims: DataFrame, grid: int = 16, win: int = 256, extra: int = 64) -> DataFrame:
@@ -53,20 +55,20 @@ def grid_window_sample(pixels: DataFrame, dims: DataFrame, n: int, grid: int = 1
         "*", "explode(sequence(cast(w_row div win AS int), cast((w_row + win - 1) div win AS int))) AS cr"
     ).selectExpr("*", "explode(sequence(cast(w_col div win AS int), cast((w_col + win - 1) div win AS int))) AS cc")
     cells = dims.selectExpr("raster_id", f"least({win}, height, width) AS cell")
-    placed = pixels.join(cells, "raster_id").selectExpr("*", "cast(row div cell AS int) AS cr", "cast(col div cell AS int) AS cc")
-    inside = placed.join(windows, ["raster_id", "cr", "cc"]).where(
+    placed = attach(pixels, cells, ["raster_id"], "inner").selectExpr("*", "cast(row div cell AS int) AS cr", "cast(col div cell AS int) AS cc")
+    inside = attach(placed, windows, ["raster_id", "cr", "cc"], "inner").where(
         "row BETWEEN w_row AND w_row + win - 1 AND col BETWEEN w_col AND w_col + win - 1"
     ).drop("cr", "cc", "cell", "win", "w_row", "w_col")
     # A window is bounded, so a plain rank is safe here.
     order = W.partitionBy("raster_id", "win_id").orderBy(F.expr("md5(concat_ws('/', win_id, row, col))"))
     taken = inside.withColumn("_r", F.row_number().over(order)).where(f"_r <= {per_window}").drop("_r")
-    return first_by_hash(taken, ["raster_id"], "md5(concat_ws('/', 'trim', win_id, row, col))", str(n))
+    return first_by_hash(taken, ["raster_id"], "md5(concat_ws('/', 'trim', win_id, row, col))", n)
 
 
 def multi_raster_sample(pixels: DataFrame, n_total: int, n_rasters: int) -> DataFrame:
     """An equal share per raster (at least 4096), trimmed to ``n_total`` overall."""
-    share = first_by_hash(pixels, ["raster_id"], PIXEL_HASH, str(max(4096, n_total // max(1, n_rasters))))
-    return first_by_hash(share.withColumn("_all", F.lit(0)), ["_all"], PIXEL_HASH, str(n_total)).drop("_all")
+    share = first_by_hash(pixels, ["raster_id"], PIXEL_HASH, max(4096, n_total // max(1, n_rasters)))
+    return first_by_hash(share.withColumn("_all", F.lit(0)), ["_all"], PIXEL_HASH, n_total).drop("_all")
 
 
 def sample_size(height: str, width: str) -> str:

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import reproject_parts, with_bbox
 from ..functions.palette import hex_channels
-from ..session import attach
+from ..session import attach, each_of
 from . import runs as rn
 from .grid import bounds_overlap
 from .materials import overlay_colours
 
 FEATURE = ["raster_id", "layer_idx", "feature_id"]
 KEYS = ["raster_id", "layer_idx"]
+MAX_LAYERS = 1000  # layers of one request
 
 
 def resolve_layer_colours(layers: DataFrame, given: DataFrame, preset: DataFrame) -> DataFrame:
@@ -53,8 +54,7 @@ def bounds_fallback(aligned: DataFrame, original: DataFrame, bounds: DataFrame)
         return b.groupBy("layer_idx").agg(*[getattr(F, f)(f"{p}{c}").alias(f"{p}{c}") for f, c in (("min", "minx"), ("min", "miny"), ("max", "maxx"), ("max", "maxy"))])
     hit = lambda p: f"NOT ({p}maxx < left OR {p}minx > right OR {p}maxy < bottom OR {p}miny > top)"
     boxes = box(aligned, "a_").join(box(original, "o_"), "layer_idx")
-    # Layers of one request (a short list) next to every raster.
-    pairs = bounds.withColumn("_j", F.lit(0)).join(boxes.withColumn("_j", F.lit(0)), "_j").drop("_j")
+    pairs = each_of(bounds, boxes, MAX_LAYERS)
     return pairs.selectExpr("raster_id", "layer_idx", f"NOT ({hit('a_')}) AND ({hit('o_')}) AS use_original")
 
 
@@ -138,5 +138,5 @@ def overlay_stats(runs: DataFrame, placed: DataFrame, meta: DataFrame, layers: D
     """Burned pixels and geometries in bounds of every raster and layer, zeros included."""
     burned = runs.groupBy(*KEYS).agg(F.sum(F.expr("cast(c1 - c0 + 1 AS bigint)")).alias("pixels"))
     shapes = placed.groupBy(*KEYS).agg(F.count("*").alias("shapes"))
-    every = meta.select("raster_id").withColumn("_j", F.lit(0)).join(layers.select("layer_idx").withColumn("_j", F.lit(0)), "_j").drop("_j")
+    every = each_of(meta.select("raster_id"), layers.select("layer_idx"), MAX_LAYERS)
     return every.join(burned, KEYS, "left").join(shapes, KEYS, "left").fillna(0, ["pixels", "shapes"])

@@ -183,7 +183,15 @@ def feature_config(spark, sf):
     return counts.join(F.broadcast(conf), "class_idx")
 
 
-@query("extract_features", "suffix:s mask_order:i raster_id:i row:i col:i r:i g:i b:i")
+def _closed(name):
+    return {f"{name}1": _dil(name, rn.ellipse(15)), f"{name}2": _ero(f"{name}1", rn.ellipse(15))}
+
+
+@query("extract_features", "suffix:s mask_order:i raster_id:i row:i col:i r:i g:i b:i", sql(DEPS,
+    "SELECT 'fields_grass' AS suffix, 3 AS mask_order, *, 124 AS r, 252 AS g, 0 AS b FROM fld2 UNION ALL "
+    "SELECT 'fields_agriculture', 4, *, 189, 183, 107 FROM fld2 UNION ALL SELECT 'trees', 2, *, 34, 139, 34 FROM tre2",
+    fld=sql(DEPS, "SELECT * FROM found", **_detector(mk.FIELD, rn.ellipse(5), rn.rect(15), 800, 0.005)),
+    tre=sql(DEPS, "SELECT * FROM found", **_detector(mk.TREE, rn.ellipse(3), rn.ellipse(11), 400, 0.002)), **_closed("fld"), **_closed("tre")))
 def extract_features(spark, sf):
     px = sized(scene(spark, sf))
     return mk.extract_features(px, "fields").unionByName(mk.extract_features(px, "trees"))

@@ -75,7 +75,7 @@ def test_open_weight_is_clipped(spark):
 
 def test_first_by_hash_is_exact_per_key(spark):
     df = spark.range(5000).selectExpr("id", "CASE WHEN id < 4500 THEN 0 ELSE 1 END AS k")
-    got = sp.first_by_hash(df, ["k"], "md5(cast(id AS string))", "100")
+    got = sp.first_by_hash(df, ["k"], "md5(cast(id AS string))", 100)
     import hashlib
     for k, ids in ((0, range(4500)), (1, range(4500, 5000))):
         want = sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:100]
