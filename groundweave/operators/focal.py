@@ -135,14 +135,14 @@ def majority(pixels: DataFrame, value: str, r: int, out: str, carry: list[str] =
 def entropy(pixels: DataFrame, value: str, r: int, out: str, carry: list[str] = (), tile: int = TILE) -> DataFrame:
     """Shannon entropy (bits) of the value histogram in a disk."""
     df = neighbours(pixels, value, disk_widths(r), carry, tile)
-    # One pass over the sorted values: H = log2(n) - sum(c * log2(c)) / n over run lengths c.
+    # One pass over the sorted values: H = sum(c * (log2(n) - log2(c))) / n over run lengths c.
+    closed = "s.h + s.c * (log2(size(near)) - log2(s.c))"
     step = (
         "CASE WHEN s.v = x THEN named_struct('v', x, 'c', s.c + 1D, 'h', s.h) "
-        "ELSE named_struct('v', x, 'c', 1D, 'h', s.h + s.c * log2(s.c)) END"
+        f"ELSE named_struct('v', x, 'c', 1D, 'h', {closed}) END"
     )
-    start = "named_struct('v', near[0], 'c', 0D, 'h', 0D)"
-    total = f"aggregate(sort_array(near), {start.replace('near[0]', 'array_min(near)')}, (s, x) -> {step}, s -> s.h + s.c * log2(s.c))"
-    bits = f"greatest(0D, log2(size(near)) - {total} / size(near))"
+    start = "named_struct('v', array_min(near), 'c', 0D, 'h', 0D)"
+    bits = f"aggregate(sort_array(near), {start}, (s, x) -> {step}, s -> {closed}) / size(near)"
     return df.withColumn(out, F.expr(bits)).drop("near")
 
 

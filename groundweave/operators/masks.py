@@ -28,7 +28,7 @@ WATER_AMBIGUOUS = (
     "OR (br > 30 AND br < 110 AND b3 >= b1 - 10 AND b3 > b2 - 20 AND s > 10))")
 WATER = f"br > 5 AND (({WATER_HSV}) OR ({WATER_RGB}) OR ({WATER_SMOOTH}) OR ({WATER_AMBIGUOUS}))"
 
-# Sub-masks per feature type (prompt kept for reference, colour, threshold, detector).
+# Sub-masks per feature type (prompt, colour, threshold, detector).
 FEATURES = [
     ("roads", "roads", "road, highway, asphalt path", (45, 45, 48), 0.05, None),
     ("buildings", "buildings", "building, house, roof, rooftop, structure", (180, 180, 180), 0.02, "buildings"),
