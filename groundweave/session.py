@@ -31,10 +31,15 @@ def new_session(app: str = "groundweave", master: str | None = None, **conf) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set."""
+    """The shared folder named in spark.checkpoint.dir.
+
+    Only a session on one machine may go without it; then a temporary folder is made.
+    """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="groundweave-")
         context.setCheckpointDir(folder)
     return folder
