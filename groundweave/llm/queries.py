@@ -1,4 +1,4 @@
 """Imports every operator of this subpackage, which registers its query."""
 
-from groundweave.llm import minhash, sharding, toxicity  # noqa: F401
+from groundweave.llm import minhash, sharding, tokenbin, toxicity  # noqa: F401
 from groundweave.llm.registry import ORACLES, QUERIES  # noqa: F401
