@@ -9,8 +9,8 @@ are confirmed on the full sets.
 
 Texts with equal sets are one class before the buckets are made, so that exact copies cost
 one member. A star can miss a link between two members that are both unlike its centre:
-buckets that still span several components after the first round are compared across
-components, with a size and a sketch filter before the sets.
+components that still share a bucket after the first round are compared with each other on
+their members' full sets, block by block inside tasks, without pairing members as rows.
 
 With 40 bands of 6 bins a pair of similarity 0.8 shares no bucket with probability
 (1 - 0.8**6)**40 = 5e-6.
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundweave.llm.components import components
 from groundweave.llm.registry import query, table
@@ -33,6 +33,8 @@ from groundweave.session import bounded, cut
 
 BANDS, ROWS = 40, 6
 PROBES = 32  # probes tried at once for the bins still empty
+BLOCK = 500_000  # shingles of one side of a block comparison: 4 MB
+LARGE = 64  # members from which on a component is met as a whole
 
 
 class Signer:
@@ -71,7 +73,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest, its bucket keys and a sketch of a byte a bin."""
+    """doc_id, n_shingles, the set's 128-bit digest and its bucket keys."""
 
     def sign(batches):
         hashes, signer = WordHashes(), Signer(bands, rows)
@@ -80,16 +82,15 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 found = shingles(hashes.of(words(text)), size)
                 if not len(found):
-                    out.append((doc, 0, None, None, None))
+                    out.append((doc, 0, None, None))
                     continue
-                signature = signer.signature(found)
-                out.append((doc, len(found), xxhash.xxh3_128_digest(found.tobytes()), signer.keys(signature), mix(signature).astype(np.uint8).tobytes()))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys", "sketch"])
+                out.append((doc, len(found), xxhash.xxh3_128_digest(found.tobytes()), signer.keys(signer.signature(found))))
+            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInPandas(sign, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
+    return slim.mapInPandas(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def confirm(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -123,19 +124,113 @@ def _alike(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _near_sketches(pairs: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs whose sketches agree in at least the threshold less 6 standard errors."""
-    share = percent / 100
-    least = (share - 6 * (share * (1 - share) / bins) ** 0.5) * bins
+def _overlaps(sets: list[np.ndarray]):
+    """For a list of sets: a function that counts what another set has in common with each."""
+    lengths, joined = np.array([len(x) for x in sets]), np.concatenate(sets)
+    order = np.argsort(joined, kind="stable")
+    owners = np.repeat(np.arange(len(sets)), lengths)[order]
+    values, start, count = np.unique(joined[order], return_index=True, return_counts=True)
 
-    def keep(batches):
+    def common(mine: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+        at = at[values[at] == mine]
+        found = [owners[i:i + k] for i, k in zip(start[at].tolist(), count[at].tolist())]
+        return np.bincount(np.concatenate(found), minlength=len(sets)) if found else np.zeros(len(sets), np.int64)
+
+    return common, lengths
+
+
+def _every(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), count - 1))
+
+
+def _block(count: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), count).cast("int")
+
+
+def links_in_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components inside each bucket; rows: key, id, n, component.
+
+    A bucket's members are compared inside one task, or in block pairs where their sets
+    exceed BLOCK; a task yields a spanning forest of the links it finds.
+    """
+    several = rows.groupBy("key").agg((F.min("component") < F.max("component")).alias("open"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("open")
+    dealt = rows.join(several, "key").withColumn("mine", _block(F.col("blocks"))).withColumn("other", _every(F.col("blocks")))
+    tasks = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "component").join(sets, "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, parent, found = pdf["id"].tolist(), {c: c for c in pdf["component"]}, []
+        component = pdf["component"].tolist()
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        common, lengths = _overlaps(sets)
+        for x, mine in enumerate(sets):
+            shared = common(mine)
+            for y in np.flatnonzero(100 * shared >= percent * (lengths + len(mine) - shared)).tolist():
+                left, right = root(component[x]), root(component[y])
+                if left != right:
+                    parent[max(left, right)] = min(left, right)
+                    found.append((ids[x], ids[y]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return tasks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def links_to_large(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between a large component and another one that shares a bucket with it.
+
+    rows: key, component, members. groups: id, n, component. The large component's members
+    are dealt into blocks of bounded bytes and the other components' are brought to each
+    block; a task yields at most one link for a member of the others.
+    """
+    met = rows.select("key", F.struct("members", "component").alias("at")).distinct()
+    pairs = cut(
+        met.where(F.col("at.members") > LARGE).withColumnRenamed("at", "big").join(met.withColumnRenamed("at", "small"), "key").where("big > small")
+        .select(F.col("big.component").alias("big"), F.col("small.component").alias("small")).distinct(), "component-pairs")
+    sizes = groups.groupBy("component").agg(F.sum("n").alias("shingles"))
+    guests = pairs.join(sizes.withColumnRenamed("component", "small"), "small").groupBy("big").agg(F.sum("shingles").alias("guest_shingles"))
+    blocks = cut(
+        guests.join(sizes.withColumnRenamed("component", "big"), "big")
+        .select("big", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("home_blocks"), F.ceil(F.col("guest_shingles") / BLOCK).cast("int").alias("guest_blocks")), "blocks")
+    member = groups.select("id", "component").join(sets, "id")
+    home = blocks.join(member.withColumnRenamed("component", "big"), "big").select("big", _block(F.col("home_blocks")).alias("home"), _every(F.col("guest_blocks")).alias("guest"), F.lit(True).alias("at_home"), "id", "shingles")
+    visiting = blocks.join(pairs, "big").join(member.withColumnRenamed("component", "small"), "small").select("big", _every(F.col("home_blocks")).alias("home"), _block(F.col("guest_blocks")).alias("guest"), F.lit(False).alias("at_home"), "id", "shingles")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        at_home, guests = pdf[pdf["at_home"]], pdf[~pdf["at_home"]]
+        if len(at_home) and len(guests):
+            ids = at_home["id"].tolist()
+            common, lengths = _overlaps([np.frombuffer(x, np.uint64) for x in at_home["shingles"]])
+            for guest, raw in zip(guests["id"].tolist(), guests["shingles"]):
+                mine = np.frombuffer(raw, np.uint64)
+                shared = common(mine)
+                linked = np.flatnonzero(100 * shared >= percent * (lengths + len(mine) - shared))
+                if len(linked):
+                    found.append((guest, ids[linked[0]]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return home.union(visiting).groupBy("big", "home", "guest").applyInPandas(compare, "a long, b long")
+
+
+def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id and the sorted distinct shingle hashes of the ids' texts."""
+
+    def build(batches):
+        hashes = WordHashes()
         for pdf in batches:
-            if len(pdf):
-                a = np.frombuffer(b"".join(pdf["sketch_a"]), np.uint8).reshape(len(pdf), -1)
-                b = np.frombuffer(b"".join(pdf["sketch_b"]), np.uint8).reshape(len(pdf), -1)
-                yield pdf.loc[(a == b).sum(axis=1) >= least, ["a", "b"]]
+            pdf["shingles"] = [shingles(hashes.of(words(t)), size).tobytes() for t in pdf["text"]]
+            yield pdf[["id", "shingles"]]
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInPandas(keep, "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(ids), "id", "left_semi")
+    return texts.mapInPandas(build, "id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -146,7 +241,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     signed = cut(signatures(docs, size, bands, rows), "signatures")
     usable = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")), "classes")
     members = classes.select("id", "n", F.explode("keys").alias("key"))
     stars = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("in_bucket")).where("in_bucket > 1")
     # the buckets' members with their stars' centres; most keys have one member and end here
@@ -157,20 +252,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     groups = cut(components(links), "components")
 
     # Buckets over several components: compare across components what no star has compared.
-    placed = crowded.where("in_bucket > 2").select("key", "id", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component_id", "id"))
+    placed = crowded.where("in_bucket > 2").select("key", "id", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
     spread = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("key")
-    left = cut(placed.join(spread, "key", "left_semi").select("key", "id", "n", "component").distinct(), "open-buckets")
-    across = (
-        left.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-        .join(left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b")), "key")
-        .where("component_a < component_b").where(_alike(percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    sketches = classes.select("id", "sketch")
-    sketched = across.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    more = cut(_near_sketches(sketched, percent, bands * rows).distinct(), "more-candidates")
-    if not more.isEmpty():
-        found = confirm(more, docs, size, percent)
+    opened = cut(placed.join(spread, "key", "left_semi"), "open-buckets")
+    if not opened.isEmpty():
+        inside = classes.select("id", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component_id", "id"))
+        inside = cut(inside.join(opened.select("component").distinct(), "component", "left_semi").select("id", "n", "component"), "open-members")
+        sets = cut(_sets(inside.select("id"), docs, size), "open-sets")
+        sizes = inside.groupBy("component").agg(F.count("*").alias("members"))
+        opened = cut(opened.join(sizes, "component"), "open-sized")
+        found = links_in_buckets(opened.where(F.col("members") <= LARGE).select("key", "id", "n", "component"), sets, percent)
+        found = found.union(links_to_large(opened.select("key", "component", "members"), inside, sets, percent))
         groups = cut(components(links.union(found)), "components")
 
     named = classes.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component_id", "id").alias("class_component"))
