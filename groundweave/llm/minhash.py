@@ -73,24 +73,24 @@ class Signer:
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest and its bucket keys."""
+    """doc_id, a hash of the text, n_shingles, the set's 128-bit digest and its bucket keys."""
 
     def sign(batches):
         hashes, signer = WordHashes(), Signer(bands, rows)
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, text, key in zip(pdf["doc_id"], pdf["text"], pdf["text_hash"]):
                 found = shingles(hashes.of(words(text)), size)
                 if not len(found):
-                    out.append((doc, 0, None, None))
+                    out.append((doc, key, 0, None, None))
                     continue
-                out.append((doc, len(found), xxhash.xxh3_128_digest(found.tobytes()), signer.keys(signer.signature(found))))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys"])
+                out.append((doc, key, len(found), xxhash.xxh3_128_digest(found.tobytes()), signer.keys(signer.signature(found))))
+            frame = pd.DataFrame(out, columns=["doc_id", "text_hash", "n_shingles", "digest", "keys"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInPandas(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return slim.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>")
 
 
 def confirm(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -234,7 +234,7 @@ def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
     size: words of a shingle. percent: the similarity that links two sets, in hundredths.
     component_id: smallest doc_id reachable over links. kept: doc_id = component_id.
@@ -267,12 +267,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     named = classes.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component_id", "id").alias("class_component"))
     return (
-        signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")))
-        .select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "text_hash")
     )
 
 
 @query("op1_near_duplicates")
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("text_hash")
