@@ -132,14 +132,25 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | float:
     return model
 
 
-def training_rows(labelled: DataFrame, per_label: int, label_bytes: int) -> list[tuple[int, str, int]]:
-    """A bounded sample of (doc_id, text, toxic), by hash of doc_id."""
-    sizes = labelled.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+def training_rows(docs: DataFrame, known: DataFrame, per_label: int, label_bytes: int) -> list[tuple[int, str, int]]:
+    """A bounded sample of (doc_id, text, toxic), by hash of doc_id.
+
+    The ids are drawn from the labels alone and broadcast (about 2 * per_label rows), so no
+    text is shuffled.
+    """
     share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("toxic") == r["toxic"], min(1.0, per_label / r["n"], label_bytes / max(1, r["bytes"]))).otherwise(share)
+    for r in known.groupBy("toxic").count().collect():
+        share = F.when(F.col("toxic") == r["toxic"], min(1.0, per_label / r["count"])).otherwise(share)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    return [tuple(r) for r in labelled.where(chance < share).select("doc_id", "text", "toxic").collect()]
+    drawn = F.broadcast(known.where(chance < share))
+    found = docs.where("text IS NOT NULL").join(drawn, "doc_id")
+    left, ids = {0: label_bytes, 1: label_bytes}, []
+    for doc, toxic, size in found.select("doc_id", "toxic", F.octet_length("text"), chance.alias("c")).orderBy("c", "doc_id").drop("c").collect():
+        left[toxic] -= size
+        if left[toxic] >= 0:
+            ids.append((doc, toxic))
+    wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
+    return [tuple(r) for r in docs.where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").collect()]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn, per_label: int = PER_LABEL, label_bytes: int = LABEL_BYTES) -> DataFrame:
@@ -147,9 +158,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn, per_label: int = P
 
     learn: a condition on doc_id; only labels of such documents are learnt from.
     """
-    known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").where(learn).where("text IS NOT NULL").join(known, "doc_id")
-    model = fit(training_rows(labelled, per_label, label_bytes))
+    known = labels.where("toxic IN (0, 1)").where(learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    model = fit(training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known, per_label, label_bytes))
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a few KB
     names = docs.columns
