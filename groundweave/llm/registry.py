@@ -20,5 +20,12 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in small Arrow batches, so that a worker's memory doesn't depend on their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
