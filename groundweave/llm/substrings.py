@@ -35,8 +35,9 @@ from groundweave.session import cut
 GRAM = 5
 SAMPLE = 8_192  # texts read to find common grams
 COMMON = 0.005  # share of texts from which on a gram is common
-PACK = 8_000_000  # bytes of text packed together
-BUCKET = 48_000_000  # bytes of text a bucket is planned for
+PACK = 1_500_000  # bytes of text packed together
+BUCKET = 8_000_000  # bytes of text a bucket is planned for (its super-k-mers hold about three times that)
+SMALL = 50_000  # bytes of super-k-mers of one minimiser whose windows are sorted as they are
 LOWEST = -(2**63)
 PLACES = ["k1", "k2"]  # doc_id, and a hash of the text
 
@@ -160,17 +161,51 @@ def merged(places: list[tuple[int, int, int]], size: int) -> list[tuple[int, int
     return [tuple(x) for x in out]
 
 
-def _repeated(texts: list[bytes], places: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Windows of one minimiser that occur more than once; a start of -1 stands for several places."""
-    windows = []
-    for text, (k1, k2, start) in zip(texts, places):
-        offsets = list(accumulate(map(len, text.split(b" ")), lambda a, n: a + n + 1, initial=0))
-        windows += [(text[a:b - 1], k1, k2, start + i if start >= 0 else -1) for i, (a, b) in enumerate(zip(offsets, offsets[size:]))]
-    windows.sort()
-    out = []
-    for i, w in enumerate(windows):
-        if w[3] >= 0 and (i and windows[i - 1][0] == w[0] or i + 1 < len(windows) and windows[i + 1][0] == w[0]):
-            out.append(w[1:])
+def _repeated(texts: list[bytes], places: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
+    """Word spans (k1, k2, from, to) of the windows of one minimiser that occur more than once.
+
+    A start of -1 stands for several places that are settled already. Where the windows'
+    texts would need much memory they are sorted by a hash, and neighbours with one hash
+    are compared word for word, so a window costs 8 bytes and not its text.
+    """
+    if sum(map(len, texts)) < SMALL:
+        windows = []
+        for text, (k1, k2, start) in zip(texts, places):
+            offsets = list(accumulate(map(len, text.split(b" ")), lambda a, n: a + n + 1, initial=0))
+            windows += [(text[a:b - 1], k1, k2, start + i if start >= 0 else -1) for i, (a, b) in enumerate(zip(offsets, offsets[size:]))]
+        windows.sort()
+        last = len(windows) - 1
+        return merged([w[1:] for i, w in enumerate(windows) if w[3] >= 0 and (i and windows[i - 1][0] == w[0] or i < last and windows[i + 1][0] == w[0])], size)
+    offsets = [list(accumulate(map(len, t.split(b" ")), lambda a, n: a + n + 1, initial=0)) for t in texts]
+    counts = np.array([len(o) - size for o in offsets])
+    hashes = np.fromiter((hash(t[a:b - 1]) for t, o in zip(texts, offsets) for a, b in zip(o, o[size:])), dtype=np.int64, count=counts.sum())
+    owner = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    order = np.argsort(hashes, kind="stable")
+    repeated, ordered = np.zeros(len(hashes), bool), hashes[order]
+    edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])).tolist() + [len(order)]
+
+    def window(i: int) -> bytes:
+        n, w = owner[i], at[i]
+        return texts[n][offsets[n][w]:offsets[n][w + size] - 1]
+
+    for lo, hi in zip(edges, edges[1:]):
+        if hi - lo > 1:
+            same = order[lo:hi]
+            first = window(same[0])
+            if all(window(i) == first for i in same[1:]):
+                repeated[same] = True
+            else:  # different windows with one hash
+                exact: dict[bytes, list[int]] = {}
+                for i in same.tolist():
+                    exact.setdefault(window(i), []).append(i)
+                repeated[[i for found in exact.values() if len(found) > 1 for i in found]] = True
+    out, base = [], 0
+    for n, (k1, k2, start) in zip(counts.tolist(), places):
+        own = np.flatnonzero(np.diff(repeated[base:base + n].astype(np.int8), prepend=0, append=0)).tolist()
+        if start >= 0:
+            out += [(k1, k2, start + a, start + b - 1 + size) for a, b in zip(own[::2], own[1::2])]
+        base += n
     return out
 
 
@@ -211,10 +246,10 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
         for lo, hi in zip(edges, edges[1:]):
             if hi - lo > 1 or texts[order[lo]].count(b" ") >= size:  # two super-k-mers, or one of several windows
                 found += _repeated([texts[i] for i in order[lo:hi]], list(zip(k1[lo:hi], k2[lo:hi], starts[lo:hi])), size)
-            if len(found) > 500_000:
-                yield pd.DataFrame(merged(found, size), columns=["k1", "k2", "from", "to"])
+            if len(found) > 50_000:
+                yield pd.DataFrame(found, columns=["k1", "k2", "from", "to"])
                 found = []
-        yield pd.DataFrame(merged(found, size), columns=["k1", "k2", "from", "to"])
+        yield pd.DataFrame(found, columns=["k1", "k2", "from", "to"])
 
     return keyed.mapInPandas(pack, PACKS).repartitionById(buckets, "bucket").mapInPandas(search, SPAN)
 

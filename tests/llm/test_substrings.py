@@ -65,3 +65,9 @@ def test_sliding_minimum():
     x = np.random.default_rng(1).integers(0, 1000, 200).astype(np.uint64)
     for width in (1, 2, 3, 7, 31):
         assert substrings._sliding_min(x, width).tolist() == [min(x[i:i + width].tolist()) for i in range(len(x) - width + 1)]
+
+
+def test_large_minimiser_groups(docs_of, prose, monkeypatch):
+    rows = planted(prose)
+    monkeypatch.setattr(substrings, "SMALL", 0)
+    assert results(remove_repeats(docs_of(rows), 35)) == wanted(rows, 35)
