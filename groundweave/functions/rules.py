@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from .palette import PRESET
 
 ALL = [name for name, _, _ in PRESET]
@@ -31,141 +29,127 @@ AXES = [
     ("sand", 0.90, {"BM_SAND": 1.0}),
 ]
 
-# One rule chain per line, "materials: condition -> delta; else condition -> delta".
-# In a chain the first condition that holds counts; all chains of a material add up.
-# A delta marked * is damped by the vegetation score (see DAMPING).
-RULES = """
-BM_WATER: road>=.40 -> 2.5; road>=.25 -> 1.2
-BM_WATER: water<.25 -> 2.0
-BM_WATER: freq<.02 -> 1.0
-BM_WATER: water_conf<.20 -> 2.5
-BM_WATER: water_conf<.12 -> 3.5
-BM_WATER: achro>=.30 -> 5.0; achro>=.18 -> 3.0; achro>=.10 -> 1.5
-BM_WATER: dark_gray>=.30 -> 4.0; dark_gray>=.18 -> 2.5; dark_gray>=.10 -> 1.2
-BM_WATER: achro>=.12 & dark_gray>=.10 -> 3.0
-BM_WATER: gray>=.40 -> 2.5; gray>=.25 -> 1.2
-BM_WATER: asphalt>=.35 -> 3.0; asphalt>=.20 -> 1.5
-BM_WATER: blue_dom<.08 & water_conf<.40 -> 3.0; blue_dom<.15 & water_conf<.30 -> 1.5
-BM_WATER: size<.005 & water_conf<.45 -> 2.0; size<.015 & water_conf<.35 -> 1.0
-BM_WATER: warm>=.40 -> 5.0; warm>=.28 -> 3.0; warm>=.18 -> 1.5
-BM_WATER: dry>=.35 -> 3.5; dry>=.20 -> 1.8
-BM_WATER: warm>=.20 & dry>=.15 -> 2.5
-BM_WATER: sand>=.30 -> 2.0
-BM_WATER: veg>=.15 & water<.50 -> 1.5
-BM_WATER: veg>=.25 & water<.65 -> 1.5
-veg: water>=.20 & veg>=.10 -> -0.8
-veg: veg<.04 -> 2.0; veg<.10 -> 0.4
-veg: road>=.45 & veg<.30 -> 2.0
-veg: asphalt>=.40 & veg<.30 -> 2.0
-veg: road>=.35 & gray>=.25 & veg<.20 -> 2.5
-veg: asphalt>=.30 & gray>=.25 & veg<.20 -> 2.5
-veg: achro>=.45 & veg<.20 -> 4.0; achro>=.30 & veg<.15 -> 2.5; achro>=.18 & veg<.10 -> 1.5
-veg: water>=.50 -> 2.0
-lush: dry>=.50 -> 1.5
-veg: gray>=.55 -> 4.0*; gray>=.40 -> 2.5*; gray>=.25 -> 1.5*; gray>=.15 -> 0.5*
-veg: dark_gray>=.45 -> 5.0*; dark_gray>=.30 -> 3.0*; dark_gray>=.15 -> 1.0*
-veg: dark_gray>=.25 & asphalt>=.20 & veg<.20 -> 3.0
-veg: gray>=.30 & asphalt>=.20 & veg<.20 -> 2.0
-veg: gray>=.25 & veg<.10 & grass<.08 -> 2.5
-veg: gray>=.40 & veg<.08 -> 2.5
-veg: gray>=.22 & road>=.35 & veg<.15 -> 2.0; gray>=.22 & asphalt>=.28 & veg<.15 -> 2.0
-BM_LAND_GRASS: gray>=.25 & veg<.20 -> 3.0; dark_gray>=.15 & veg<.20 -> 3.0
-BM_LAND_GRASS: road>=.35 & veg<.15 -> 2.5; asphalt>=.30 & veg<.15 -> 2.5
-BM_LAND_DRY_GRASS: gray>=.25 & veg<.20 -> 2.5; dark_gray>=.15 & veg<.20 -> 2.5
-BM_LAND_DRY_GRASS: road>=.35 & veg<.15 -> 2.0; asphalt>=.30 & veg<.15 -> 2.0
-canopy: gray>=.22 & veg<.15 -> 3.5; dark_gray>=.15 & veg<.15 -> 3.5
-canopy: road>=.30 & veg<.20 -> 3.0; asphalt>=.25 & veg<.20 -> 3.0
-canopy: gray>=.30 & road>=.28 & veg<.15 -> 3.0; gray>=.30 & asphalt>=.22 & veg<.15 -> 3.0
-BM_LAND_DRY_GRASS: veg>=.62 & dry<.20 -> 0.8
-veg: veg>=.08 & gray<.40 -> -3.0
-veg: veg>=.15 & gray<.35 -> -4.5
-veg: veg>=.30 & gray<.30 -> -5.0
-veg: veg>=.45 & gray<.25 -> -4.5
-veg: veg>=.60 & gray<.20 -> -4.0
-veg: grass>=.06 & gray<.30 -> -3.5
-veg: grass>=.15 & gray<.25 -> -3.5
-veg: grass>=.30 & gray<.20 -> -3.0
-asphalts: veg>=.35 -> 4.0; veg>=.22 -> 2.5; veg>=.12 -> 1.0
-asphalts: grass>=.20 -> 2.5
-asphalts: grass>=.35 -> 2.5
-asphalts: gray>=.50 -> -2.5; gray>=.35 -> -1.8; gray>=.20 -> -1.2; gray>=.12 -> -0.5
-asphalts: dark_gray>=.40 -> -4.0; dark_gray>=.20 -> -2.5; dark_gray>=.10 -> -1.0
-asphalts: dark_gray>=.25 & warm<.15 -> -2.5
-asphalts: gray>=.20 & veg<.15 & grass<.10 -> -2.0
-asphalts: gray>=.35 & veg<.10 & grass<.08 -> -2.0
-asphalts: gray>=.18 & road>=.28 & veg<.18 -> -1.8; gray>=.18 & asphalt>=.22 & veg<.18 -> -1.8
-BM_ASPHALT: gray>=.20 & veg<.18 -> -2.0; dark_gray>=.12 & veg<.18 -> -2.0
-BM_ASPHALT: road>=.28 & veg<.20 -> -1.8; asphalt>=.22 & veg<.20 -> -1.8
-asphalts: achro>=.45 & veg<.20 -> -3.5; achro>=.30 & veg<.15 -> -2.5; achro>=.18 & veg<.12 -> -1.5
-asphalts: sand>=.35 -> 1.8
-asphalts: sand>=.55 -> 1.5
-pavement: warm>=.55 -> 5.0; warm>=.40 -> 3.5; warm>=.25 -> 2.0; warm>=.12 -> 0.8
-pavement: warm>=.20 & gray<.20 -> 2.5
-BM_SAND: dark_gray>=.30 -> 2.5
-BM_SAND: asphalt>=.40 -> 1.8
-BM_SAND: gray>=.40 & warm<.20 -> 4.0; gray>=.25 & warm<.20 -> 2.0
-BM_SAND: warm>=.35 -> -1.0
-BM_SOIL: road>=.52 -> 1.4
-BM_SOIL: asphalt>=.48 -> 1.3
-BM_SOIL: line>=.45 -> 0.8
-BM_SOIL: gray>=.45 & warm<.15 -> 5.0; gray>=.30 & warm<.20 -> 3.0; gray>=.20 & warm<.20 -> 1.5
-BM_SOIL: dark_gray>=.35 -> 5.0; dark_gray>=.20 -> 3.0; dark_gray>=.10 -> 1.5
-BM_SOIL: dark_gray>=.20 & warm<.15 -> 3.0
-BM_SOIL: achro>=.35 & warm<.15 -> 4.0; achro>=.20 & warm<.20 -> 2.0
-BM_SOIL: gray>=.25 & dry<.15 -> 2.5
-BM_SOIL: warm>=.30 & dry>=.20 -> -1.5; warm>=.20 -> -0.6
-veg: water>=.55 -> 1.5
-lush: water_conf>=.40 -> 1.5
-asphalts: road>=.30 -> -1.4
-asphalts: asphalt>=.30 -> -1.2
-BM_CONCRETE: road>=.30 -> -1.1
-BM_CONCRETE: road>=.50 -> -1.0
-BM_CONCRETE: gray>=.50 & veg<.15 -> -2.0; gray>=.35 & veg<.18 -> -1.5; gray>=.20 & veg<.20 -> -1.0
-BM_CONCRETE: dark_gray>=.15 & veg<.15 -> -0.6
-BM_CONCRETE: gray>=.20 & veg<.15 & grass<.10 -> -2.0
-BM_CONCRETE: gray>=.35 & veg<.10 & grass<.08 -> -2.0
-BM_CONCRETE: achro>=.35 & veg<.15 -> -2.0; achro>=.20 & veg<.12 -> -1.2
-BM_CONCRETE: veg>=.25 -> 3.0
-BM_CONCRETE: veg>=.40 -> 2.5
-BM_CONCRETE: grass>=.15 -> 2.0
-BM_CONCRETE: grass>=.30 -> 2.0
-BM_PAINT_ASPHALT: line>=.30 -> -1.0
-BM_SOIL: dry>=.30 -> -1.2
-BM_SOIL: warm>=.30 & dry>=.20 -> -0.8
-BM_ROCK: dry>=.30 -> -1.0
-BM_ROCK: gray>=.18 -> -2.0
-BM_ROCK: dark_gray>=.12 -> -1.4
-BM_ROCK: road>=.28 -> -1.6
-BM_ROCK: asphalt>=.22 -> -1.4
-BM_ROCK: gray>=.18 & veg<.35 -> -2.2
-BM_ROCK: veg>=.45 & gray<.15 -> 2.0
-BM_WATER: water_conf>=.22 -> -1.5
-BM_WATER: water_conf>=.45 -> -1.5
-metals: -> 2.5
-BM_SAND: sand>=.35 -> -1.2
-BM_SAND: sand>=.50 -> -1.2
-BM_SAND: sand>=.65 -> -0.8
-BM_SAND: grass>=.20 -> 2.5; veg>=.25 -> 2.0
-grasses: sand>=.45 & sand>dry -> 1.8; sand>=.35 -> 0.9
-BM_LAND_GRASS: grass<.08 -> 1.5
-BM_LAND_DRY_GRASS: grass<.04 & sand>=.30 -> 1.0
-grasses: gray>=.55 & veg<.15 -> 4.0; gray>=.35 & veg<.15 -> 2.5; gray>=.20 & veg<.10 -> 1.5
-grasses: achro>=.40 & veg<.15 -> 3.5; achro>=.25 & veg<.10 -> 2.0
-veg_road: water>=.55 -> 1.5
-"""
+# The rule chains, (materials, [(SQL condition, delta, damped)]). In a chain the
+# first condition that holds counts; all chains of a material add up. A damped delta is
+# weakened by the vegetation score (see DAMPING).
+RULES = [
+    (["BM_WATER"], [("road>=0.40", 2.5, False), ("road>=0.25", 1.2, False)]),
+    (["BM_WATER"], [("water<0.25", 2.0, False)]),
+    (["BM_WATER"], [("freq<0.02", 1.0, False)]),
+    (["BM_WATER"], [("water_conf<0.20", 2.5, False)]),
+    (["BM_WATER"], [("water_conf<0.12", 3.5, False)]),
+    (["BM_WATER"], [("achro>=0.30", 5.0, False), ("achro>=0.18", 3.0, False), ("achro>=0.10", 1.5, False)]),
+    (["BM_WATER"], [("dark_gray>=0.30", 4.0, False), ("dark_gray>=0.18", 2.5, False), ("dark_gray>=0.10", 1.2, False)]),
+    (["BM_WATER"], [("achro>=0.12 AND dark_gray>=0.10", 3.0, False)]),
+    (["BM_WATER"], [("gray>=0.40", 2.5, False), ("gray>=0.25", 1.2, False)]),
+    (["BM_WATER"], [("asphalt>=0.35", 3.0, False), ("asphalt>=0.20", 1.5, False)]),
+    (["BM_WATER"], [("blue_dom<0.08 AND water_conf<0.40", 3.0, False), ("blue_dom<0.15 AND water_conf<0.30", 1.5, False)]),
+    (["BM_WATER"], [("size<0.005 AND water_conf<0.45", 2.0, False), ("size<0.015 AND water_conf<0.35", 1.0, False)]),
+    (["BM_WATER"], [("warm>=0.40", 5.0, False), ("warm>=0.28", 3.0, False), ("warm>=0.18", 1.5, False)]),
+    (["BM_WATER"], [("dry>=0.35", 3.5, False), ("dry>=0.20", 1.8, False)]),
+    (["BM_WATER"], [("warm>=0.20 AND dry>=0.15", 2.5, False)]),
+    (["BM_WATER"], [("sand>=0.30", 2.0, False)]),
+    (["BM_WATER"], [("veg>=0.15 AND water<0.50", 1.5, False)]),
+    (["BM_WATER"], [("veg>=0.25 AND water<0.65", 1.5, False)]),
+    (SETS["veg"], [("water>=0.20 AND veg>=0.10", -0.8, False)]),
+    (SETS["veg"], [("veg<0.04", 2.0, False), ("veg<0.10", 0.4, False)]),
+    (SETS["veg"], [("road>=0.45 AND veg<0.30", 2.0, False)]),
+    (SETS["veg"], [("asphalt>=0.40 AND veg<0.30", 2.0, False)]),
+    (SETS["veg"], [("road>=0.35 AND gray>=0.25 AND veg<0.20", 2.5, False)]),
+    (SETS["veg"], [("asphalt>=0.30 AND gray>=0.25 AND veg<0.20", 2.5, False)]),
+    (SETS["veg"], [("achro>=0.45 AND veg<0.20", 4.0, False), ("achro>=0.30 AND veg<0.15", 2.5, False), ("achro>=0.18 AND veg<0.10", 1.5, False)]),
+    (SETS["veg"], [("water>=0.50", 2.0, False)]),
+    (SETS["lush"], [("dry>=0.50", 1.5, False)]),
+    (SETS["veg"], [("gray>=0.55", 4.0, True), ("gray>=0.40", 2.5, True), ("gray>=0.25", 1.5, True), ("gray>=0.15", 0.5, True)]),
+    (SETS["veg"], [("dark_gray>=0.45", 5.0, True), ("dark_gray>=0.30", 3.0, True), ("dark_gray>=0.15", 1.0, True)]),
+    (SETS["veg"], [("dark_gray>=0.25 AND asphalt>=0.20 AND veg<0.20", 3.0, False)]),
+    (SETS["veg"], [("gray>=0.30 AND asphalt>=0.20 AND veg<0.20", 2.0, False)]),
+    (SETS["veg"], [("gray>=0.25 AND veg<0.10 AND grass<0.08", 2.5, False)]),
+    (SETS["veg"], [("gray>=0.40 AND veg<0.08", 2.5, False)]),
+    (SETS["veg"], [("gray>=0.22 AND road>=0.35 AND veg<0.15", 2.0, False), ("gray>=0.22 AND asphalt>=0.28 AND veg<0.15", 2.0, False)]),
+    (["BM_LAND_GRASS"], [("gray>=0.25 AND veg<0.20", 3.0, False), ("dark_gray>=0.15 AND veg<0.20", 3.0, False)]),
+    (["BM_LAND_GRASS"], [("road>=0.35 AND veg<0.15", 2.5, False), ("asphalt>=0.30 AND veg<0.15", 2.5, False)]),
+    (["BM_LAND_DRY_GRASS"], [("gray>=0.25 AND veg<0.20", 2.5, False), ("dark_gray>=0.15 AND veg<0.20", 2.5, False)]),
+    (["BM_LAND_DRY_GRASS"], [("road>=0.35 AND veg<0.15", 2.0, False), ("asphalt>=0.30 AND veg<0.15", 2.0, False)]),
+    (SETS["canopy"], [("gray>=0.22 AND veg<0.15", 3.5, False), ("dark_gray>=0.15 AND veg<0.15", 3.5, False)]),
+    (SETS["canopy"], [("road>=0.30 AND veg<0.20", 3.0, False), ("asphalt>=0.25 AND veg<0.20", 3.0, False)]),
+    (SETS["canopy"], [("gray>=0.30 AND road>=0.28 AND veg<0.15", 3.0, False), ("gray>=0.30 AND asphalt>=0.22 AND veg<0.15", 3.0, False)]),
+    (["BM_LAND_DRY_GRASS"], [("veg>=0.62 AND dry<0.20", 0.8, False)]),
+    (SETS["veg"], [("veg>=0.08 AND gray<0.40", -3.0, False)]),
+    (SETS["veg"], [("veg>=0.15 AND gray<0.35", -4.5, False)]),
+    (SETS["veg"], [("veg>=0.30 AND gray<0.30", -5.0, False)]),
+    (SETS["veg"], [("veg>=0.45 AND gray<0.25", -4.5, False)]),
+    (SETS["veg"], [("veg>=0.60 AND gray<0.20", -4.0, False)]),
+    (SETS["veg"], [("grass>=0.06 AND gray<0.30", -3.5, False)]),
+    (SETS["veg"], [("grass>=0.15 AND gray<0.25", -3.5, False)]),
+    (SETS["veg"], [("grass>=0.30 AND gray<0.20", -3.0, False)]),
+    (SETS["asphalts"], [("veg>=0.35", 4.0, False), ("veg>=0.22", 2.5, False), ("veg>=0.12", 1.0, False)]),
+    (SETS["asphalts"], [("grass>=0.20", 2.5, False)]),
+    (SETS["asphalts"], [("grass>=0.35", 2.5, False)]),
+    (SETS["asphalts"], [("gray>=0.50", -2.5, False), ("gray>=0.35", -1.8, False), ("gray>=0.20", -1.2, False), ("gray>=0.12", -0.5, False)]),
+    (SETS["asphalts"], [("dark_gray>=0.40", -4.0, False), ("dark_gray>=0.20", -2.5, False), ("dark_gray>=0.10", -1.0, False)]),
+    (SETS["asphalts"], [("dark_gray>=0.25 AND warm<0.15", -2.5, False)]),
+    (SETS["asphalts"], [("gray>=0.20 AND veg<0.15 AND grass<0.10", -2.0, False)]),
+    (SETS["asphalts"], [("gray>=0.35 AND veg<0.10 AND grass<0.08", -2.0, False)]),
+    (SETS["asphalts"], [("gray>=0.18 AND road>=0.28 AND veg<0.18", -1.8, False), ("gray>=0.18 AND asphalt>=0.22 AND veg<0.18", -1.8, False)]),
+    (["BM_ASPHALT"], [("gray>=0.20 AND veg<0.18", -2.0, False), ("dark_gray>=0.12 AND veg<0.18", -2.0, False)]),
+    (["BM_ASPHALT"], [("road>=0.28 AND veg<0.20", -1.8, False), ("asphalt>=0.22 AND veg<0.20", -1.8, False)]),
+    (SETS["asphalts"], [("achro>=0.45 AND veg<0.20", -3.5, False), ("achro>=0.30 AND veg<0.15", -2.5, False), ("achro>=0.18 AND veg<0.12", -1.5, False)]),
+    (SETS["asphalts"], [("sand>=0.35", 1.8, False)]),
+    (SETS["asphalts"], [("sand>=0.55", 1.5, False)]),
+    (SETS["pavement"], [("warm>=0.55", 5.0, False), ("warm>=0.40", 3.5, False), ("warm>=0.25", 2.0, False), ("warm>=0.12", 0.8, False)]),
+    (SETS["pavement"], [("warm>=0.20 AND gray<0.20", 2.5, False)]),
+    (["BM_SAND"], [("dark_gray>=0.30", 2.5, False)]),
+    (["BM_SAND"], [("asphalt>=0.40", 1.8, False)]),
+    (["BM_SAND"], [("gray>=0.40 AND warm<0.20", 4.0, False), ("gray>=0.25 AND warm<0.20", 2.0, False)]),
+    (["BM_SAND"], [("warm>=0.35", -1.0, False)]),
+    (["BM_SOIL"], [("road>=0.52", 1.4, False)]),
+    (["BM_SOIL"], [("asphalt>=0.48", 1.3, False)]),
+    (["BM_SOIL"], [("line>=0.45", 0.8, False)]),
+    (["BM_SOIL"], [("gray>=0.45 AND warm<0.15", 5.0, False), ("gray>=0.30 AND warm<0.20", 3.0, False), ("gray>=0.20 AND warm<0.20", 1.5, False)]),
+    (["BM_SOIL"], [("dark_gray>=0.35", 5.0, False), ("dark_gray>=0.20", 3.0, False), ("dark_gray>=0.10", 1.5, False)]),
+    (["BM_SOIL"], [("dark_gray>=0.20 AND warm<0.15", 3.0, False)]),
+    (["BM_SOIL"], [("achro>=0.35 AND warm<0.15", 4.0, False), ("achro>=0.20 AND warm<0.20", 2.0, False)]),
+    (["BM_SOIL"], [("gray>=0.25 AND dry<0.15", 2.5, False)]),
+    (["BM_SOIL"], [("warm>=0.30 AND dry>=0.20", -1.5, False), ("warm>=0.20", -0.6, False)]),
+    (SETS["veg"], [("water>=0.55", 1.5, False)]),
+    (SETS["lush"], [("water_conf>=0.40", 1.5, False)]),
+    (SETS["asphalts"], [("road>=0.30", -1.4, False)]),
+    (SETS["asphalts"], [("asphalt>=0.30", -1.2, False)]),
+    (["BM_CONCRETE"], [("road>=0.30", -1.1, False)]),
+    (["BM_CONCRETE"], [("road>=0.50", -1.0, False)]),
+    (["BM_CONCRETE"], [("gray>=0.50 AND veg<0.15", -2.0, False), ("gray>=0.35 AND veg<0.18", -1.5, False), ("gray>=0.20 AND veg<0.20", -1.0, False)]),
+    (["BM_CONCRETE"], [("dark_gray>=0.15 AND veg<0.15", -0.6, False)]),
+    (["BM_CONCRETE"], [("gray>=0.20 AND veg<0.15 AND grass<0.10", -2.0, False)]),
+    (["BM_CONCRETE"], [("gray>=0.35 AND veg<0.10 AND grass<0.08", -2.0, False)]),
+    (["BM_CONCRETE"], [("achro>=0.35 AND veg<0.15", -2.0, False), ("achro>=0.20 AND veg<0.12", -1.2, False)]),
+    (["BM_CONCRETE"], [("veg>=0.25", 3.0, False)]),
+    (["BM_CONCRETE"], [("veg>=0.40", 2.5, False)]),
+    (["BM_CONCRETE"], [("grass>=0.15", 2.0, False)]),
+    (["BM_CONCRETE"], [("grass>=0.30", 2.0, False)]),
+    (["BM_PAINT_ASPHALT"], [("line>=0.30", -1.0, False)]),
+    (["BM_SOIL"], [("dry>=0.30", -1.2, False)]),
+    (["BM_SOIL"], [("warm>=0.30 AND dry>=0.20", -0.8, False)]),
+    (["BM_ROCK"], [("dry>=0.30", -1.0, False)]),
+    (["BM_ROCK"], [("gray>=0.18", -2.0, False)]),
+    (["BM_ROCK"], [("dark_gray>=0.12", -1.4, False)]),
+    (["BM_ROCK"], [("road>=0.28", -1.6, False)]),
+    (["BM_ROCK"], [("asphalt>=0.22", -1.4, False)]),
+    (["BM_ROCK"], [("gray>=0.18 AND veg<0.35", -2.2, False)]),
+    (["BM_ROCK"], [("veg>=0.45 AND gray<0.15", 2.0, False)]),
+    (["BM_WATER"], [("water_conf>=0.22", -1.5, False)]),
+    (["BM_WATER"], [("water_conf>=0.45", -1.5, False)]),
+    (SETS["metals"], [("true", 2.5, False)]),
+    (["BM_SAND"], [("sand>=0.35", -1.2, False)]),
+    (["BM_SAND"], [("sand>=0.50", -1.2, False)]),
+    (["BM_SAND"], [("sand>=0.65", -0.8, False)]),
+    (["BM_SAND"], [("grass>=0.20", 2.5, False), ("veg>=0.25", 2.0, False)]),
+    (SETS["grasses"], [("sand>=0.45 AND sand>dry", 1.8, False), ("sand>=0.35", 0.9, False)]),
+    (["BM_LAND_GRASS"], [("grass<0.08", 1.5, False)]),
+    (["BM_LAND_DRY_GRASS"], [("grass<0.04 AND sand>=0.30", 1.0, False)]),
+    (SETS["grasses"], [("gray>=0.55 AND veg<0.15", 4.0, False), ("gray>=0.35 AND veg<0.15", 2.5, False), ("gray>=0.20 AND veg<0.10", 1.5, False)]),
+    (SETS["grasses"], [("achro>=0.40 AND veg<0.15", 3.5, False), ("achro>=0.25 AND veg<0.10", 2.0, False)]),
+    (SETS["veg_road"], [("water>=0.55", 1.5, False)]),
+]
 # Damping of the gray rules by the vegetation score.
 DAMPING = [(0.35, 0.10), (0.20, 0.30), (0.12, 0.55)]
-
-
-def chains() -> list[tuple[list[str], list[tuple[str, float, bool]]]]:
-    """(materials, [(SQL condition, delta, damped)]) per rule chain."""
-    out = []
-    for line in RULES.strip().splitlines():
-        names, tiers = line.split(":")
-        parsed = []
-        for tier in tiers.split(";"):
-            cond, delta = (p.strip() for p in tier.split("->"))
-            cond = re.sub(r"(>=|<|>)\.", r"\g<1>0.", cond).replace("&", "AND") or "true"
-            parsed.append((cond, float(delta.rstrip("*")), delta.endswith("*")))
-        out.append((SETS.get(names, [names]), parsed))
-    return out

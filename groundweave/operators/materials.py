@@ -115,7 +115,7 @@ def semantic_penalty(pairs: DataFrame) -> DataFrame:
     names = [*SCORES, "freq", "material"]
     arms = []
     for material in rules.ALL:
-        chains = [tiers for members, tiers in rules.chains() if material in members]
+        chains = [tiers for members, tiers in rules.RULES if material in members]
         terms = [
             "CASE " + " ".join(f"WHEN {cond} THEN {delta!r}D{' * damping' if damped else ''}" for cond, delta, damped in tiers) + " ELSE 0D END"
             for tiers in chains

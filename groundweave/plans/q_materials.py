@@ -238,7 +238,7 @@ def _penalty_sql():
         f"{w}::DOUBLE * abs({a} - (CASE material " + " ".join(f"WHEN '{m}' THEN {t}" for m, t in targets.items()) + " ELSE 0 END))" for a, w, targets in rules.AXES)
     damp = "(CASE " + " ".join(f"WHEN veg >= {lim} THEN {f}::DOUBLE" for lim, f in rules.DAMPING) + " ELSE 1 END)"
     terms = [axes]
-    for names, tiers in rules.chains():
+    for names, tiers in rules.RULES:
         inner = " ".join(f"WHEN {c} THEN {d}{' * ' + damp if damped else ''}" for c, d, damped in tiers)
         terms.append(f"CASE WHEN material IN {names_in(names)} THEN (CASE {inner} ELSE 0 END) ELSE 0 END")
     return " + ".join(terms)
