@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import cut
+
 CHUNK = 4
 
 
@@ -98,15 +100,19 @@ def centers_to_rgb(centers: list[list[float]], stats, feats: list[str]) -> list[
     ]
 
 
-def training_budget(df: DataFrame, feats: list[str], n_pixels: int, n_clusters: int, lo: int = 20_000, hi: int = 120_000, presample: int = 8_000) -> int:
-    """Training rows from the eigenvalue entropy of standardised features."""
+def training_budget(df: DataFrame, feats: list[str], n_pixels: int, n_clusters: int, lo: int = 20_000, hi: int = 120_000, key: list[str] | None = None, presample: int | None = None) -> int:
+    """Training rows from the eigenvalue entropy of standardised features.
+
+    The correlations are taken over all rows, or over about ``presample`` rows by hash of
+    the row's ``key`` columns.
+    """
     import numpy as np
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
     if n_pixels <= lo or len(feats) <= 1:
         return min(n_pixels, 100_000)
-    sample = df.select(*feats).where(f"pmod(xxhash64({', '.join(feats)}), 1000000) < {math.ceil(1e6 * presample / n_pixels)}")
+    sample = df.where(f"pmod(xxhash64({', '.join(key)}), 1000000) < {math.ceil(1e6 * presample / n_pixels)}") if presample else df
     rows = VectorAssembler(inputCols=feats, outputCol="v").transform(sample)
     corr = np.nan_to_num(Correlation.corr(rows, "v").first()[0].toArray())
     share = np.clip(np.linalg.eigvalsh(corr) / max(np.trace(corr), 1e-12), 1e-12, None)
@@ -115,48 +121,41 @@ def training_budget(df: DataFrame, feats: list[str], n_pixels: int, n_clusters:
     return min(n_pixels, int(min(hi, max(lo, lo + frac * (hi - lo)))))
 
 
-def silhouette(df: DataFrame, feats: list[str], label: str = "label", sample: int = 8_000) -> DataFrame:
-    """Mean silhouette (Euclidean) of a bounded sample.
+def silhouette(df: DataFrame, feats: list[str], label: str = "label", sample: int | None = None, block: int = 2048) -> DataFrame:
+    """Mean silhouette (Euclidean) over all rows, or over ``sample`` rows taken by hash of the row.
 
-    The sample has at most ``sample`` rows; it is shipped to the tasks, and each task
-    sums distances per cluster for its own rows, so no pair is ever a row.
+    Rows are dealt into blocks, and a task sums the distances from one block to another per
+    cluster, so no pair is ever a row. The work grows with the square of the rows.
     """
     import numpy as np
+    import pandas as pd
 
     from .sampling import first_by_hash
 
-    spark = df.sparkSession
-    keyed = df.select(*feats, label).withColumn("_all", F.lit(0))
-    digest = f"md5(concat_ws('/', {', '.join(feats)}))"
-    taken = first_by_hash(keyed, ["_all"], digest, sample).drop("_all")
-    pdf = taken.toPandas()
-    labels, points = pdf[label].to_numpy(), pdf[feats].to_numpy(dtype=float)
-    ids, inverse, sizes = np.unique(labels, return_inverse=True, return_counts=True)
-    one_hot = np.eye(len(ids))[inverse]
-    shared = spark.sparkContext.broadcast((points, one_hot, ids, sizes))
-
-    def widths(batches):
-        import pandas as pd
-
-        points, one_hot, ids, sizes = shared.value
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=float)
-            own = np.searchsorted(ids, pdf[label].to_numpy())
-            out = []
-            for start in range(0, len(x), 256):
-                d = np.sqrt(((x[start:start + 256, None, :] - points[None]) ** 2).sum(axis=2)) @ one_hot
-                o = own[start:start + 256]
-                i = np.arange(len(o))
-                a = d[i, o] / np.maximum(sizes[o] - 1, 1)
-                mean = d / sizes
-                mean[i, o] = np.inf
-                b = mean.min(axis=1)
-                top = np.maximum(a, b)
-                out.append(np.where((sizes[o] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0))
-            yield pd.DataFrame({"w": np.concatenate(out) if out else np.zeros(0)})
-
-    rows = spark.createDataFrame(pdf)
-    return rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(widths, "w DOUBLE").agg(F.avg("w").alias("silhouette"))
+    rows = cut(df.select(*feats, F.col(label).cast("long").alias("_label")).withColumn("_row", F.monotonically_increasing_id()), "silhouette")
+    if sample:
+        rows = cut(first_by_hash(rows.withColumn("_all", F.lit(0)), ["_all"], "md5(cast(_row AS string))", sample).drop("_all"), "silhouette")
+    n = max(1, math.ceil(rows.count() / block))
+    mine, every = F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = rows.select(mine.alias("i"), every.alias("j"), F.lit(True).alias("_asks"), "*")
+    others = rows.select(every.alias("i"), mine.alias("j"), F.lit(False).alias("_asks"), "*")
+
+    def distances(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["_asks"]], pdf[~pdf["_asks"]]
+        ids, inverse, sizes = np.unique(right["_label"].to_numpy(), return_inverse=True, return_counts=True)
+        points, one_hot, out = right[feats].to_numpy(dtype=float), np.eye(len(ids))[inverse], []
+        for start in range(0, len(left), 256):
+            part = left.iloc[start:start + 256]
+            total = np.sqrt(((part[feats].to_numpy(dtype=float)[:, None, :] - points[None]) ** 2).sum(axis=2)) @ one_hot
+            out.append(pd.DataFrame({"_row": np.repeat(part["_row"].to_numpy(), len(ids)), "own": np.repeat(part["_label"].to_numpy(), len(ids)),
+                                     "other": np.tile(ids, len(part)), "total": total.ravel(), "n": np.tile(sizes, len(part))}))
+        return pd.concat(out) if out else pd.DataFrame({"_row": [], "own": [], "other": [], "total": [], "n": []})
+
+    sums = asking.union(others).groupBy("i", "j").applyInPandas(distances, "_row bigint, own bigint, other bigint, total double, n bigint")
+    per = sums.groupBy("_row", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    own = F.col("own") == F.col("other")
+    widths = per.groupBy("_row").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, F.expr("total / greatest(n - 1, 1)"))).alias("a"), F.min(F.when(~own, F.expr("total / n"))).alias("b"))
+    return widths.agg(F.avg(F.expr("CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0D END")).alias("silhouette"))
 
 
 def _moments(df: DataFrame, feats: list[str], label: str) -> DataFrame:
@@ -217,11 +216,15 @@ def recommend_k(scores: DataFrame, keys: list[str]) -> DataFrame:
     return close.groupBy(*keys).agg(F.min("k").alias("k"))
 
 
-def recommend_for(df: DataFrame, feats: list[str], lo: int = 2, hi: int = 10, max_samples: int = 60_000) -> int:
-    """Fit k = lo..hi on one raster's standardised features and recommend a k."""
-    from .sampling import first_by_hash
+def recommend_for(df: DataFrame, feats: list[str], lo: int = 2, hi: int = 10, max_samples: int | None = None) -> int:
+    """Fit k = lo..hi on one raster's standardised features and recommend a k.
+
+    All rows are used; ``max_samples`` takes that many by hash of raster_id, row and col.
+    """
+    from .sampling import PIXEL_HASH, first_by_hash
 
-    rows = finite_rows(first_by_hash(df.withColumn("_all", F.lit(0)), ["_all"], f"md5(concat_ws('/', {', '.join(feats)}))", max_samples).drop("_all"), feats)
+    taken = first_by_hash(df.withColumn("_all", F.lit(0)), ["_all"], PIXEL_HASH, max_samples).drop("_all") if max_samples else df
+    rows = finite_rows(taken, feats)
     n = rows.count()
     if n < 50:
         return max(lo, 3)
@@ -237,8 +240,8 @@ def recommend_for(df: DataFrame, feats: list[str], lo: int = 2, hi: int = 10, ma
     return recommend_k(scores, ["_m"]).first()["k"]
 
 
-def folder_median_k(per_raster: DataFrame, quick: int | None = 5) -> DataFrame:
-    """Rounded median of per-image k; quick mode takes evenly spaced files of the list.
+def folder_median_k(per_raster: DataFrame, quick: int | None = None) -> DataFrame:
+    """Rounded median of per-image k; ``quick`` takes so many evenly spaced files of the list.
 
     ``per_raster`` has ``pos`` (0-based position in the sorted listing) and k.
     """

@@ -38,10 +38,10 @@ def texture_std(pixels: DataFrame, size: int = 3, carry: list[str] = ()) -> Data
     return df.withColumn("texture", F.expr(std_from_sums("s1", "s2", size * size, 3))).drop("s1", "s2")
 
 
-def local_entropy(pixels: DataFrame, carry: list[str] = (), decimate_above: int = 1_500_000) -> DataFrame:
+def local_entropy(pixels: DataFrame, carry: list[str] = (), decimate_above: int | None = None) -> DataFrame:
     """Entropy of gray stretched to 8 bits, over a disk of radius 2.
 
-    Rasters above ``decimate_above`` pixels are sampled 2x first and the values repeated.
+    With ``decimate_above``, rasters of more pixels are sampled 2x first and the values repeated.
     """
     stretch = attach(
         pixels,
@@ -49,7 +49,7 @@ def local_entropy(pixels: DataFrame, carry: list[str] = (), decimate_above: int
         ["raster_id"],
     ).withColumns({
         "gray8": F.expr(f"CASE WHEN hi > lo THEN cast(floor(({GRAY} - lo) / (hi - lo) * 255.0D) AS int) ELSE 0 END"),
-        "step": F.expr(f"CASE WHEN cast(height AS bigint) * width > {decimate_above} THEN 2 ELSE 1 END"),
+        "step": F.expr(f"CASE WHEN cast(height AS bigint) * width > {decimate_above} THEN 2 ELSE 1 END" if decimate_above else "1"),
     })
     coarse = stretch.where("row % step = 0 AND col % step = 0").selectExpr(
         "raster_id", "cast(row div step AS int) AS row", "cast(col div step AS int) AS col",

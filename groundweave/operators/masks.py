@@ -172,6 +172,12 @@ def detect_tiled(px: DataFrame, detector, size: int = 1024, overlap: int = 102)
     return found.join(own, KEYS).selectExpr("source_id AS raster_id", "source_row AS row", "source_col AS col")
 
 
+def union_masks(one: DataFrame, other: DataFrame, dims: DataFrame) -> DataFrame:
+    """Pixels of either mask; a raster of ``dims`` whose union is empty is one row without a pixel, marked ``empty``."""
+    pixels = rn.pixels_of(rn.union(one, other)).select("raster_id", "row", "col")
+    return dims.select("raster_id").distinct().join(pixels, "raster_id", "left").withColumn("empty", F.col("row").isNull())
+
+
 def close_mask(runs: DataFrame, dims: DataFrame, size: int = 15) -> DataFrame:
     return rn.closing(runs, rn.ellipse(size), dims)
 
@@ -254,9 +260,10 @@ def road_linearity(px: DataFrame, side: int = 256, votes: int = 12, gap: int = 1
 
 def should_extract(px: DataFrame, side: int = 256) -> DataFrame:
     """Per raster and feature type: whether to run the extraction, and the signature share."""
-    thumb = cut(_thumb(px, side), "thumb").where("b1 > 5 OR b2 > 5 OR b3 > 5")
-    share = thumb.groupBy("raster_id").agg(F.count("*").alias("valid"), *[
-        F.avg(F.expr(f"CASE WHEN {c} THEN 1D ELSE 0D END")).alias(k) for k, (c, _) in PREFILTER.items()])
+    thumb = cut(_thumb(px, side), "thumb").withColumn("lit", F.expr("b1 > 5 OR b2 > 5 OR b3 > 5"))
+    # a raster without a lit cell keeps its row: it has too few valid pixels to be skipped
+    share = thumb.groupBy("raster_id").agg(F.count_if("lit").alias("valid"), *[
+        F.coalesce(F.avg(F.expr(f"CASE WHEN NOT lit THEN NULL WHEN {c} THEN 1D ELSE 0D END")), F.lit(0.0)).alias(k) for k, (c, _) in PREFILTER.items()])
     segments = road_linearity(px, side).groupBy("raster_id").agg(F.count("*").alias("segments"))
     df = share.join(segments, "raster_id", "left").fillna(0, ["segments"])
     rows = ", ".join(f"'{k}', {k}, {limit}D" for k, (_, limit) in PREFILTER.items())

@@ -65,8 +65,10 @@ def grid_window_sample(pixels: DataFrame, dims: DataFrame, n: int, grid: int = 1
     return first_by_hash(taken, ["raster_id"], "md5(concat_ws('/', 'trim', win_id, row, col))", n)
 
 
-def multi_raster_sample(pixels: DataFrame, n_total: int, n_rasters: int) -> DataFrame:
-    """An equal share per raster (at least 4096), trimmed to ``n_total`` overall."""
+def multi_raster_sample(pixels: DataFrame, n_total: int | None, n_rasters: int) -> DataFrame:
+    """An equal share per raster (at least 4096), trimmed to ``n_total`` overall; all pixels without ``n_total``."""
+    if n_total is None:
+        return pixels
     share = first_by_hash(pixels, ["raster_id"], PIXEL_HASH, max(4096, n_total // max(1, n_rasters)))
     return first_by_hash(share.withColumn("_all", F.lit(0)), ["_all"], PIXEL_HASH, n_total).drop("_all")
 

@@ -44,8 +44,8 @@ WATER3 = ("(s3 - greatest(s1, s2) > 0.03D AND sat < 0.35D AND s3 > 0.10D AND s1
 MASK_NAMES = [*BASE_MASKS, *MASKS, "m_water", "m_edge"]
 
 
-def stride_sample(pixels: DataFrame, budget: int = 420_000) -> DataFrame:
-    """Every s-th row and column, re-indexed, with s from the raster's size."""
+def stride_sample(pixels: DataFrame, budget: int) -> DataFrame:
+    """Every s-th row and column, re-indexed, with s such that about ``budget`` pixels of a raster are left."""
     df = pixels.withColumn("_s", F.expr(f"cast(greatest(1, floor(sqrt(cast(height AS double) * width / {budget}))) AS int)"))
     df = df.where("row % _s = 0 AND col % _s = 0")
     up = lambda n: F.expr(f"cast(({n} + _s - 1) div _s AS int)")
@@ -109,12 +109,13 @@ SCORE_FORMULAS = [
 ]
 
 
-def semantic_scores(pixels: DataFrame, k: int, four_bands: bool = True) -> DataFrame:
+def semantic_scores(pixels: DataFrame, k: int, four_bands: bool = True, budget: int | None = None) -> DataFrame:
     """The 15 scores of every cluster 1..k per raster; an empty cluster scores 0.
 
-    ``pixels`` has bands, label, height and width; large rasters are stride-sampled.
+    ``pixels`` has bands, label, height and width. All pixels count; with ``budget`` rasters are
+    stride-sampled to about that many.
     """
-    sampled = stride_sample(pixels)
+    sampled = stride_sample(pixels, budget) if budget else pixels
     masks = semantic_masks(sampled, ["label"], four_bands).where("label > 0")
     shares = masks.groupBy("raster_id", "label").agg(
         F.count("*").alias("px"), *[F.avg(F.col(m).cast("double")).alias(f"f{m[1:]}") for m in MASK_NAMES])
@@ -138,10 +139,11 @@ def avg_semantics(scores: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(F.col(s) * F.col("pixels")) / F.nullif(F.sum("pixels"), F.lit(0)), F.lit(0.0)).alias(s) for s in SCORES])
 
 
-def scene_prior(pixels: DataFrame, classes: DataFrame, metres: str, radius_m: float = 90.0, grid: int = 4) -> tuple[DataFrame, DataFrame]:
+def scene_prior(pixels: DataFrame, classes: DataFrame, metres: str, radius_m: float = 90.0, grid: int = 4, stride: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Open weight per raster from regular zones, and the blended material priors.
 
-    ``metres`` is the ground size of a pixel (SQL). Small rasters are one zone. Returns
+    ``metres`` is the ground size of a pixel (SQL). Small rasters are one zone. All pixels of a
+    zone count; ``stride`` thins zones and small rasters to about so many pixels. Returns
     (weights: raster_id, zones, open_weight ..., priors: model_id, material, prior).
     """
     from .materials import blended_priors, open_fractions
@@ -154,9 +156,9 @@ def scene_prior(pixels: DataFrame, classes: DataFrame, metres: str, radius_m: fl
     hit = lambda p, n: f"filter(transform({centre(n)}, (c, i) -> struct(i AS i, c - radius AS at)), z -> {p} BETWEEN z.at AND z.at + 2 * radius)"
     zoned = df.where("NOT tiny").selectExpr("*", f"explode({hit('row', 'height')}) AS zr").selectExpr(
         "*", f"explode({hit('col', 'width')}) AS zc",
-        "cast(greatest(1, floor(sqrt((2 * radius + 1) * (2 * radius + 1) / 6000.0D))) AS int) AS s",
+        f"cast(greatest(1, floor(sqrt((2 * radius + 1) * (2 * radius + 1) / {stride[0]}.0D))) AS int) AS s" if stride else "1 AS s",
     ).where("(row - zr.at) % s = 0 AND (col - zc.at) % s = 0").selectExpr("raster_id", f"zr.i * {grid} + zc.i AS zone", "b1", "b2", "b3")
-    whole = df.where("tiny").withColumn("s", F.expr("cast(greatest(1, floor(sqrt(cast(height AS double) * width / 220000.0D))) AS int)")).where(
+    whole = df.where("tiny").withColumn("s", F.expr(f"cast(greatest(1, floor(sqrt(cast(height AS double) * width / {stride[1]}.0D))) AS int)" if stride else "1")).where(
         "row % s = 0 AND col % s = 0").selectExpr("raster_id", "0 AS zone", "b1", "b2", "b3")
     zones = zoned.unionByName(whole)
     key = ["raster_id", "zone"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import reproject_parts, with_bbox
 from ..functions.palette import hex_channels
-from ..session import attach, each_of
+from ..session import attach, bounded, each_of
 from . import runs as rn
 from .grid import bounds_overlap
 from .materials import overlay_colours
@@ -27,8 +27,11 @@ def resolve_layer_colours(layers: DataFrame, given: DataFrame, preset: DataFrame
     """
     out = layers
     for n, (table, key, col) in enumerate([(given, "id", "class_id"), (given, "name", "name"), (preset, "id", "class_id"), (preset, "name", "name")]):
-        good = table.where("color RLIKE '^#[0-9a-fA-F]{6}$'").select(F.col(key).alias(f"_k{n}"), *[c.alias(f"_{ch}{n}") for ch, c in zip("rgb", hex_channels("color"))])
-        out = out.join(F.broadcast(good), out[col] == good[f"_k{n}"], "left").drop(f"_k{n}")
+        # empty keys don't count, and of classes with one key the last does
+        order = F.col("class_idx") if "class_idx" in table.columns else F.monotonically_increasing_id()
+        good = table.where("color RLIKE '^#[0-9a-fA-F]{6}$'").where(f"coalesce({key}, '') <> ''").withColumn("_at", order).groupBy(F.col(key).alias(f"_k{n}")).agg(
+            F.max_by("color", "_at").alias("color")).select(f"_k{n}", *[c.alias(f"_{ch}{n}") for ch, c in zip("rgb", hex_channels("color"))])
+        out = out.join(bounded(good), F.col(col) == F.col(f"_k{n}"), "left").drop(f"_k{n}")
     used = given.where("color RLIKE '^#[0-9a-fA-F]{6}$'").select(F.lit(0).alias("_set"), *hex_channels("color"))
     numbered = layers.select("layer_idx").withColumns({
         "_set": F.lit(0), "layer_no": F.row_number().over(W.partitionBy(F.lit(0)).orderBy("layer_idx")) - 1})  # a request's layers
@@ -137,6 +140,6 @@ def overlay_labels(labels: DataFrame, runs: DataFrame, n_classes: int) -> DataFr
 def overlay_stats(runs: DataFrame, placed: DataFrame, meta: DataFrame, layers: DataFrame) -> DataFrame:
     """Burned pixels and geometries in bounds of every raster and layer, zeros included."""
     burned = runs.groupBy(*KEYS).agg(F.sum(F.expr("cast(c1 - c0 + 1 AS bigint)")).alias("pixels"))
-    shapes = placed.groupBy(*KEYS).agg(F.count("*").alias("shapes"))
+    shapes = placed.groupBy(*KEYS).agg(F.countDistinct("feature_id").alias("shapes"))
     every = each_of(meta.select("raster_id"), layers.select("layer_idx"), MAX_LAYERS)
     return every.join(burned, KEYS, "left").join(shapes, KEYS, "left").fillna(0, ["pixels", "shapes"])

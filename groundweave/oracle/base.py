@@ -27,7 +27,7 @@ CTES = {
             ((b1-r)*(b1-r)+(b2-g)*(b2-g)+(b3-b)*(b3-b)) * 100 + class_idx) AS label
         FROM scene, classes GROUP BY raster_id, row, col""",
     "lab": "SELECT s.*, l.label FROM px s JOIN labels13 l USING (raster_id, row, col)",
-    "vec": """SELECT vec_id, CAST(list_slice(embedding, 1, 6) AS DOUBLE[]) AS x, label FROM embeddings""",
+    "vec": """SELECT vec_id, CAST(list_slice(embedding, 1, 64) AS DOUBLE[]) AS x, label FROM embeddings""",
     "rasters": """SELECT o_orderkey AS raster_id,
             '/in/' || (o_custkey % 7) || '/scene ' || o_orderkey || (CASE o_orderkey % 5 WHEN 0 THEN '.tif'
               WHEN 1 THEN '.TIFF' WHEN 2 THEN '.jpg' WHEN 3 THEN '.png' ELSE '.txt' END) AS path,

@@ -41,8 +41,8 @@ class Model:
         return Model(feats, stats, [list(r.center) for r in rows])
 
 
-def train(table: DataFrame, features: list[str], k: int, n_total: int = 100_000, n_rasters: int = 1, iterations: int = 80, library: bool = False) -> Model:
-    """Sample after the features, standardise, cluster; the start is the first rows by hash."""
+def train(table: DataFrame, features: list[str], k: int, n_total: int | None = None, n_rasters: int = 1, iterations: int = 80, library: bool = False) -> Model:
+    """Standardise and cluster all rows (a sample of ``n_total`` on request); the start is the first rows by hash."""
     sample = cut(sp.multi_raster_sample(table.select("raster_id", "row", "col", *features), n_total, n_rasters), "sample")
     stats = cl.scaler_stats(sample, features).first().asDict()
     rows = cl.standardize(sample, features, stats)
@@ -65,7 +65,7 @@ def shared_mapping(labelled: DataFrame, model: Model, classes: DataFrame) -> Dat
 
 
 def classify(pixels: DataFrame, classes: DataFrame, bands: list[str], k: int | None = None, flags: dict | None = None, smoothing: str = "none",
-             model: Model | None = None, mapping: DataFrame | None = None, n_total: int = 100_000, iterations: int = 80) -> tuple[DataFrame, Model, DataFrame]:
+             model: Model | None = None, mapping: DataFrame | None = None, n_total: int | None = None, iterations: int = 80) -> tuple[DataFrame, Model, DataFrame]:
     """Classified pixels (cluster ``label``, ``material_idx``, r, g, b), the model and the mapping."""
     flags = flags or DEFAULT_FLAGS
     names = ft.feature_columns(flags, bands)
@@ -112,7 +112,7 @@ def stage_table(stages: DataFrame, keys: list[str]) -> DataFrame:
     total = per.groupBy(*keys).agg(F.sum("seconds").alias("total"))
     rows = per.join(total, keys).unionByName(total.selectExpr(*keys, "'TOTAL' AS stage", "total AS seconds", "total"))
     return rows.selectExpr(*keys, "stage", "seconds", f"{duration_text('seconds')} AS time_text",
-                           "format_string('%.1f%%', bround(CASE WHEN total > 0 THEN seconds / total * 100 ELSE 0D END, 1)) AS share_text")
+                           "format_string('%.1f%%', bround(CASE WHEN total > 0 THEN seconds / total * 100 WHEN stage = 'TOTAL' THEN 100D ELSE 0D END, 1)) AS share_text")
 
 
 # Weight of each phase, the default weight, and the total per pipeline.

@@ -7,7 +7,7 @@ from ..oracle.base import sql
 from .fixtures import dims, rasters, scene, sized, table, vectors
 from .registry import query
 
-N = 6
+N = 64
 X = [f"x{i}" for i in range(1, N + 1)]
 XSPEC = " ".join(f"{x}:d6" for x in X)
 K = 4
@@ -233,17 +233,18 @@ def representative_rasters(spark, sf):
 
 
 BANDS = ["b1", "b2", "b3", "b4"]
+ITERATIONS = 4  # a fixed number, as the SQL unrolls them
 _SB = ", ".join(f"({b} - m{b}) / s{b} AS {b}" for b in BANDS)
 
 
 def shared_model(spark, sf, k=7):
-    """Scaler and Lloyd centres over a sample of all rasters, from the first rows by hash."""
+    """Scaler and Lloyd centres over all pixels of all rasters, from the first rows by hash."""
     px = scene(spark, sf).selectExpr("raster_id", "row", "col", *[f"cast({b} AS double) AS {b}" for b in BANDS])
-    sample = sp.multi_raster_sample(px, 6000, dims(px).count())
+    sample = px
     stats = cl.scaler_stats(sample, BANDS).first()
     train = cl.standardize(sample, BANDS, stats)
     init = train.orderBy(F.expr(sp.PIXEL_HASH)).limit(k).collect()
-    centers = cl.lloyd(train, BANDS, [[r[b] for b in BANDS] for r in init], iterations=2, tol=0.0)
+    centers = cl.lloyd(train, BANDS, [[r[b] for b in BANDS] for r in init], iterations=ITERATIONS, tol=0.0)
     return px, stats, centers
 
 
@@ -259,16 +260,13 @@ def _move(prev, lab):
 
 
 SHARED = {
-    "sample": """SELECT raster_id, row, col, b1, b2, b3, b4, h FROM (
-        SELECT *, md5(concat_ws('/', raster_id, row, col)) AS h FROM scene QUALIFY row_number() OVER (PARTITION BY raster_id
-        ORDER BY md5(concat_ws('/', raster_id, row, col))) <= greatest(4096, 6000 // (SELECT count(DISTINCT raster_id) FROM scene)))
-        QUALIFY row_number() OVER (ORDER BY h) <= 6000""",
+    "sample": "SELECT raster_id, row, col, b1, b2, b3, b4, md5(concat_ws('/', raster_id, row, col)) AS h FROM scene",
     "st": "SELECT " + ", ".join(f"avg({b}) AS m{b}, coalesce(nullif(stddev_pop({b}), 0), 1) AS s{b}" for b in BANDS) + " FROM sample",
     "train": f"SELECT raster_id, row, col, h, {_SB} FROM sample, st",
     "c0": "SELECT row_number() OVER (ORDER BY h) AS k, b1, b2, b3, b4 FROM train QUALIFY row_number() OVER (ORDER BY h) <= 7",
-    "l0": _near("train", "c0", ""), "c1": _move("c0", "l0"), "l1": _near("train", "c1", ""), "c2": _move("c1", "l1"),
+    **{name: text for i in range(ITERATIONS) for name, text in ((f"l{i}", _near("train", f"c{i}", "")), (f"c{i + 1}", _move(f"c{i}", f"l{i}")))},
     "std_all": f"SELECT raster_id, row, col, {_SB} FROM scene, st",
-    "shared": _near("std_all", "c2", ""),
+    "shared": _near("std_all", f"c{ITERATIONS}", ""),
 }
 
 

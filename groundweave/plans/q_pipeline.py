@@ -17,11 +17,12 @@ from .registry import query
 PX = "raster_id:i row:i col:i "
 BANDS = ["b1", "b2", "b3", "b4"]
 K = 7
+ITERATIONS = 4  # a fixed number, as the SQL unrolls them
 FEATS = ["f_b1", "f_b2", "f_b3", "f_b4", "f_ndvi"]
 
 
 def _run(spark, sf, smoothing="none"):
-    return pl.classify(scene(spark, sf), classes(spark), BANDS, k=K, smoothing=smoothing, n_total=6000, iterations=2)
+    return pl.classify(scene(spark, sf), classes(spark), BANDS, k=K, smoothing=smoothing, iterations=ITERATIONS)
 
 
 def _near(points, centers):
@@ -38,13 +39,12 @@ _SCORE_PART = {k: v for k, v in SCORE_CTES.items() if k != "zl"}
 PIPE = {
     "bs": box("px", {f"m{i}": f"q.b{i}" for i in range(1, 5)}, 3),
     "ff": "SELECT raster_id, row, col, m1/9 AS f_b1, m2/9 AS f_b2, m3/9 AS f_b3, m4/9 AS f_b4, (b4 - b3) / (b4 + b3 + 1e-6) AS f_ndvi, md5(concat_ws('/', raster_id, row, col)) AS h FROM bs JOIN px USING (raster_id, row, col)",
-    "sample": """SELECT * FROM (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY raster_id ORDER BY h) <= greatest(4096, 6000 // (SELECT count(DISTINCT raster_id) FROM scene)))
-        QUALIFY row_number() OVER (ORDER BY h) <= 6000""",
+    "sample": "SELECT * FROM ff",
     "stt": "SELECT " + ", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s_{f}" for f in FEATS) + " FROM sample",
     "train": f"SELECT raster_id, row, col, h, {_STD} FROM sample, stt",
     "k0": f"SELECT row_number() OVER (ORDER BY h) AS k, {', '.join(FEATS)} FROM train QUALIFY row_number() OVER (ORDER BY h) <= {K}",
-    "t0": _near("train", "k0"), "k1": _next("k0", "t0"), "t1": _near("train", "k1"), "k2": _next("k1", "t1"),
-    "alls": f"SELECT raster_id, row, col, {_STD} FROM ff, stt", "lab7": _near("alls", "k2"),
+    **{name: text for i in range(ITERATIONS) for name, text in ((f"t{i}", _near("train", f"k{i}")), (f"k{i + 1}", _next(f"k{i}", f"t{i}")))},
+    "alls": f"SELECT raster_id, row, col, {_STD} FROM ff, stt", "lab7": _near("alls", f"k{ITERATIONS}"),
     "zl": "SELECT px.* EXCLUDE (zone), label FROM px JOIN lab7 USING (raster_id, row, col)",
     **_SCORE_PART,
 }
@@ -52,7 +52,7 @@ PIPE = {
 PIPE["sc"] = MASK_CTES["sc"].replace("s.zone + 1 AS label", "l7.label").replace("FROM scene s JOIN", "FROM scene s JOIN lab7 l7 USING (raster_id, row, col) JOIN")
 PIPE |= {
     "crgb": """SELECT k AS cluster, greatest(0, least(255, round_even(f_b1 * s_f_b1 + m_f_b1, 0)))::INT AS r, greatest(0, least(255, round_even(f_b2 * s_f_b2 + m_f_b2, 0)))::INT AS g,
-        greatest(0, least(255, round_even(f_b3 * s_f_b3 + m_f_b3, 0)))::INT AS b FROM k2, stt""",
+        greatest(0, least(255, round_even(f_b3 * s_f_b3 + m_f_b3, 0)))::INT AS b FROM k%d, stt""" % ITERATIONS,
     "avgs": "SELECT label AS cluster, sum(px) AS pixels, " + ", ".join(f"sum({s} * px) / sum(px) AS {s}" for s in SCORES) + " FROM scores GROUP BY label",
     "clusters": "SELECT 0 AS model_id, crgb.cluster, r, g, b, coalesce(pixels, 0) AS pixels, " + ", ".join(f"coalesce({s}, 0) AS {s}" for s in SCORES) + " FROM crgb LEFT JOIN avgs USING (cluster)",
     **DIV_CTES,

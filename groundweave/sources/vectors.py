@@ -34,6 +34,8 @@ def scan_geojson(spark: SparkSession, path: str, layer_idx: int = 0, epsg: int =
         line = "transform({0}, v -> " + vertex.format("v") + ")"
         if d == 0:
             parts = [f"array(array({vertex.format(parsed)}))"]
+        elif kind == "MultiPoint":  # a part for each point, or edges would join them
+            parts = [f"transform({parsed}, v -> array({vertex.format('v')}))"]
         elif d == 1:
             parts = [f"array({line.format(parsed)})"]
         elif d == 2:
