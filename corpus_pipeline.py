@@ -30,14 +30,26 @@ from groundweave.llm.toxicity import score_toxicity
 from groundweave.session import bounded, cut
 
 
+def apart(stage):
+    """Keep columns beyond those of documents under names that no operator uses while a stage runs."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        safe = {c: c if c in ("doc_id", "text", "lang", "source", "n_chars") else f"__extra_{i}" for i, c in enumerate(docs.columns)}
+        done = stage(spark, docs.select(*[F.col(f"`{c}`").alias(safe[c]) for c in docs.columns]), sf_dir)
+        return done.select(*[F.col(safe[c]).alias(c) for c in docs.columns])
+
+    return run
+
+
+@apart
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     return score_toxicity(docs, table(spark, sf_dir, "labels"), learn).where("predicted = 0").select(docs.columns)
 
 
+@apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     judged = near_duplicates(docs, size=5, percent=80)
     key = ["doc_id", "text_hash"]
     keyed = docs.drop("text_hash").withColumn("text_hash", F.xxhash64("text"))
@@ -48,16 +60,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.select(docs.columns)
 
 
+@apart
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     cleaned = remove_repeats(docs, size=35)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")))
     return changed.withColumn("text", text).select(docs.columns)
 
 
+@apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return find_items(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(docs.columns)
 
 
