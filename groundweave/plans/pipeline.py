@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clustering as cl, features as ft, materials as mt, postproc as pp, sampling as sp, semantics as sem, vector as vc
+from ..functions.palette import hex_channels
 from ..session import bounded, cut
 
 DEFAULT_FLAGS = {"spectral": True, "texture": False, "indices": True, "color_indices": False, "entropy": False}
@@ -64,9 +65,21 @@ def shared_mapping(labelled: DataFrame, model: Model, classes: DataFrame) -> Dat
     return cut(mt.map_clusters(table, classes), "mapping")
 
 
+def class_mapping(labelled: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Custom classes: cluster i has the colour of class i; further clusters have their own mean colour."""
+    means = mt.cluster_rgb(labelled.withColumn("model_id", F.lit(0)), k, ["model_id"])  # k rows
+    given = classes.select("class_idx", "name", *hex_channels("color"))
+    named = mt.color_table(means, given).join(F.broadcast(given.selectExpr("class_idx AS label", "name")), "label", "left")
+    return cut(named.selectExpr("label AS cluster", "label AS material_idx", "name AS material", "r", "g", "b"), "mapping")
+
+
 def classify(pixels: DataFrame, classes: DataFrame, bands: list[str], k: int | None = None, flags: dict | None = None, smoothing: str = "none",
              model: Model | None = None, mapping: DataFrame | None = None, n_total: int | None = None, iterations: int = 80) -> tuple[DataFrame, Model, DataFrame]:
-    """Classified pixels (cluster ``label``, ``material_idx``, r, g, b), the model and the mapping."""
+    """Classified pixels (cluster ``label``, ``material_idx``, r, g, b), the model and the mapping.
+
+    Classes of the preset are mapped by colour, prevalence and semantics; with any other
+    name among them cluster i is class i.
+    """
     flags = flags or DEFAULT_FLAGS
     names = ft.feature_columns(flags, bands)
     table = cut(ft.feature_table(pixels, flags, bands, [b for b in bands]), "features")
@@ -75,7 +88,11 @@ def classify(pixels: DataFrame, classes: DataFrame, bands: list[str], k: int | N
         model = train(table, names, k or classes.count(), n_total, n_rasters, iterations)
     labelled = cut(model.assign(table).select("raster_id", "row", "col", "height", "width", *bands, "label"), "labels")
     if mapping is None:
-        mapping = shared_mapping(labelled, model, classes)
+        preset = mt.is_preset(classes.select(F.lit(0).alias("_set"), "name"), "_set").first()
+        if preset and preset["preset"]:
+            mapping = shared_mapping(labelled, model, classes)
+        else:
+            mapping = class_mapping(labelled, classes, len(model.centers))
     smooth = pp.smooth(labelled, smoothing)
     lookup = F.broadcast(mapping.selectExpr("cluster AS label", "material_idx", "material", "r", "g", "b"))  # k rows
     return smooth.join(lookup, "label", "left").fillna(0, ["material_idx", "r", "g", "b"]), model, mapping

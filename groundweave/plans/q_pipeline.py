@@ -7,7 +7,7 @@ from ..oracle.base import CTES, box, components, boxes, sql
 from ..session import cut, scratch_path
 from ..streaming import arrivals
 from . import pipeline as pl
-from .fixtures import SCORES, classes, geoms, pixel_table, progress, raster_meta, scene, table
+from .fixtures import SCORES, classes, geoms, pixel_table, progress, raster_meta, scene, table, user_classes
 from .q_clustering import _move
 from .q_materials import CONT_CTES, DIV_CTES, MASK_CTES, SCORE_CTES, _RAILS, _RAIL_LAST, _ZM
 from .q_postproc import around
@@ -68,6 +68,14 @@ def classify_scene(spark, sf):
     return _run(spark, sf)[0]
 
 
+@query("classify_custom", PX + "label:i material:s r:i g:i b:i", sql(DEPS + " user_classes", """SELECT l.raster_id, l.row, l.col, label, u.name AS material,
+    coalesce(('0x' || u.color[2:3])::INT, m.r) AS r, coalesce(('0x' || u.color[4:5])::INT, m.g) AS g, coalesce(('0x' || u.color[6:7])::INT, m.b) AS b
+    FROM lab7 l LEFT JOIN (SELECT label, floor(avg(b1))::INT AS r, floor(avg(b2))::INT AS g, floor(avg(b3))::INT AS b FROM lab7 JOIN px USING (raster_id, row, col) GROUP BY label) m USING (label)
+    LEFT JOIN user_classes u ON class_idx = label""", **PIPE))
+def classify_custom(spark, sf):
+    return pl.classify(scene(spark, sf), user_classes(spark, sf), BANDS, k=K, iterations=ITERATIONS)[0]
+
+
 @query("shared_color_table", "cluster:i material:s r:i g:i b:i", sql(DEPS, "SELECT cluster, material, r, g, b FROM mapped", **PIPE))
 def shared_color_table(spark, sf):
     return _run(spark, sf)[2]
