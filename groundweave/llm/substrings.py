@@ -283,7 +283,20 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     return joined.mapInPandas(keep, f"{fields}, n_words long, n_removed long, kept_text string")
 
 
-@query("op6_substring_dedup")
+ORACLE = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM split WHERE len(ws) >= 35)),
+repeated AS (SELECT words FROM windows GROUP BY words HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (words)) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: NOT list_contains(places, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op6_substring_dedup", ORACLE)
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
