@@ -10,7 +10,7 @@ from .fixtures import classes, labels13, labelled, raster_meta, scene, sized
 from .q_features import GAUSS_CTES, HSV_SQL
 from .q_postproc import LAB, MASK, lab, road_mask
 from .q_vectors import classified
-from .registry import query
+from .registry import ORACLES, query
 
 PX = "raster_id:i row:i col:i "
 DEPS = "scene dims px"
@@ -200,6 +200,18 @@ def extract_features(spark, sf):
     return mk.extract_features(px, "fields").unionByName(mk.extract_features(px, "trees"))
 
 
+@query("extract_water", "suffix:s mask_order:i raster_id:i row:i col:i r:i g:i b:i", sql(DEPS,
+    " UNION ALL ".join(f"SELECT '{suffix}' AS suffix, {order} AS mask_order, raster_id, row, col, 28 AS r, 107 AS g, 160 AS b FROM wat2"
+                       for order, suffix in ((5, "water_bodies"), (6, "water_channels"), (7, "water_other"))), wat=ORACLES["detect_water"], **_closed("wat")))
+def extract_water(spark, sf):
+    return mk.extract_features(sized(scene(spark, sf)), "water")
+
+
+@query("extract_buildings", "suffix:s mask_order:i raster_id:i row:i col:i r:i g:i b:i")
+def extract_buildings(spark, sf):
+    return mk.extract_features(sized(scene(spark, sf)), "buildings")
+
+
 _PF = ", ".join(f"avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0 END) AS {k}" for k, (c, _) in mk.PREFILTER.items())
 HOUGH = {"th": """SELECT *, (b1 + b2 + b3) / 3 AS br, greatest(b1, b2, b3) - least(b1, b2, b3) AS sat FROM (
         SELECT raster_id, row * oh // height AS row, col * ow // width AS col, any_value(oh) AS height, any_value(ow) AS width, avg(b1) AS b1, avg(b2) AS b2, avg(b3) AS b3 FROM (SELECT *,
