@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundweave.llm.registry import query, table
 from groundweave.llm.words import WordHashes, mix, rolling, words
-from groundweave.session import cut
+from groundweave.session import MAX_BROADCAST_ROWS, cut
 
 GRAM = 5
 SAMPLE = 8_192  # texts read to find common grams
@@ -39,11 +39,12 @@ PACK = 1_500_000  # bytes of text packed together
 BUCKET = 8_000_000  # bytes of text a bucket is planned for (its super-k-mers hold about three times that)
 SMALL = 50_000  # bytes of super-k-mers of one minimiser whose windows are sorted as they are
 LOWEST = -(2**63)
-PLACES = ["k1", "k2"]  # doc_id, and a hash of the text
+PLACES = ["__k1", "__k2"]  # doc_id, and a hash of the text
+FEW_SPANS = 2_000_000  # spans that may be broadcast
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST).cast("long")), "k2": F.xxhash64("text", F.col("doc_id").isNull())})
+    return docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST).cast("long")), "__k2": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
 def common_grams(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -135,7 +136,7 @@ class Packer:
         order = np.argsort(bucket, kind="stable")
         k1, k2, starts = np.array(self.k1, dtype=np.int64)[order], np.array(self.k2, dtype=np.int64)[order], np.array(self.starts, dtype=np.int32)[order]
         found, first = np.unique(bucket[order], return_index=True)
-        compress, rows = zstandard.ZstdCompressor(level=1).compress, []
+        compress, rows = zstandard.ZstdCompressor(level=3).compress, []
         for b, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
             packed = compress(b"\n".join([self.texts[i] for i in order[lo:hi].tolist()]))
             rows.append((b, keys[order[lo:hi]].view(np.int64), k1[lo:hi], k2[lo:hi], starts[lo:hi], packed, None))
@@ -211,7 +212,7 @@ def _repeated(texts: list[bytes], places: list[tuple[int, int, int]], size: int)
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """k1, k2, from, to: the word spans of each text that repeated windows cover; spans of a text can overlap."""
-    keyed = _keyed(docs).select(*PLACES, "text")
+    keyed = _keyed(docs).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text")
     common, length = common_grams(docs, size)
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), length // BUCKET)
@@ -257,16 +258,18 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the kept words joined by one blank)."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    spans = repeated_spans(docs, size).groupBy(*PLACES).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    taken = {"k1", "k2", "spans"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are used inside")
+    spans = repeated_spans(docs, size).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
+    spans = cut(spans, "spans")
+    # few spans go to the texts; with more of them the texts are exchanged
+    total = spans.agg(F.count("*"), F.sum(F.size("__spans"))).first()
+    if total[0] <= MAX_BROADCAST_ROWS and (total[1] or 0) <= FEW_SPANS:
+        spans = F.broadcast(spans)
     names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def keep(batches):
         for pdf in batches:
             out = []
-            for text, found in zip(pdf["text"], pdf["spans"]):
+            for text, found in zip(pdf["text"], pdf["__spans"]):
                 own = words(text, lower=False)
                 if found is None or not len(found):
                     out.append((len(own), 0, b" ".join(own).decode()))

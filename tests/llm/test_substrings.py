@@ -52,7 +52,7 @@ def test_common_grams_change_nothing(docs_of, prose, monkeypatch):
 
 
 def test_odd_rows(clashing, odd_rows):
-    clean = clashing.drop("n")
+    clean = clashing.withColumnsRenamed({"key": "k1", "rank": "spans"})
     assert results(remove_repeats(clean, 35)) == wanted(odd_rows, 35)
     assert "day" in remove_repeats(clean, 35).columns
 
@@ -71,3 +71,9 @@ def test_large_minimiser_groups(docs_of, prose, monkeypatch):
     rows = planted(prose)
     monkeypatch.setattr(substrings, "SMALL", 0)
     assert results(remove_repeats(docs_of(rows), 35)) == wanted(rows, 35)
+
+
+def test_many_spans_are_joined_by_exchange(docs_of, prose, monkeypatch):
+    rows = planted(prose)
+    monkeypatch.setattr(substrings, "FEW_SPANS", 0)
+    assert results(remove_repeats(docs_of(rows), 35)) == wanted(rows, 35)
