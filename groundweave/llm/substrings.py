@@ -279,7 +279,8 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
                     mask[s["from"]:s["to"]] = False
                 left = [w for w, kept in zip(own, mask.tolist()) if kept]
                 out.append((len(own), len(own) - len(left), b" ".join(left).decode()))
-            pdf[["n_words", "n_removed", "kept_text"]] = out if out else np.zeros((0, 3))
+            for at, name in enumerate(("n_words", "n_removed", "kept_text")):  # one by one: together they'd become strings of the longest text's width
+                pdf[name] = [o[at] for o in out]
             yield pdf[[*names, "n_words", "n_removed", "kept_text"]]
 
     joined = _keyed(docs).join(spans, PLACES, "left").drop(*PLACES)
