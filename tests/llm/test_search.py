@@ -127,3 +127,32 @@ def test_pages_without_article(spark, prose):
         texts.setdefault(r["page_id"], []).append(r["text"])
     assert texts == {**{i: [prose(i, 40)] for i in range(6)}, 6: [notice], 7: [""], 8: [""], 9: [notice] * 2}
     assert main_text(spark.createDataFrame([], "page_id LONG, url STRING, html STRING")).collect() == []
+
+
+def test_repeats_do_not_depend_on_the_size_of_a_host(spark, prose, monkeypatch):
+    """A passage that just two pages of a large host share is cut, whichever shards they are in."""
+    monkeypatch.setattr(htmltext, "SHARD", 700)
+    rng = random.Random(8)
+    pages = []
+    for i in range(40):
+        shared = prose(1000 + i // 2, 9)  # pages 2n and 2n + 1 only
+        pages.append([prose(i, rng.randint(5, 20)), f"{prose(300 + i, 4)} {shared} {prose(400 + i, 4)}", prose(500, 5), prose(600 + i % 3, 7)])
+    pages += [pages[0], [prose(700, 8)], [prose(700, 8)]]  # equal pages count once
+    seen = {}
+    for p in {tuple(page) for page in pages}:
+        for b in p:
+            words = b.split(" ")
+            for i in range(len(words) - 5):
+                seen.setdefault(tuple(words[i:i + 6]), set()).add(p)
+    want = {}
+    for n, page in enumerate(pages):
+        left = []
+        for words in (b.split(" ") for b in page):
+            cut = {j for i in range(len(words) - 5) if len(seen[tuple(words[i:i + 6])]) > 1 for j in range(i, i + 6)}
+            left.append(" ".join(w for j, w in enumerate(words) if j not in cut))
+        want[n] = "\n\n".join(b for b in left if b)
+    rows = [(n, f"https://big.example/{n}", "".join(f"<p>{b}</p>" for b in page)) for n, page in enumerate(pages)]
+    rows += [(100, "https://small.example/", f"<p>{pages[0][3]}</p>")]  # hosts stay apart
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
+    assert got == want | {100: pages[0][3]}
+    assert all(prose(1000 + i // 2, 9) not in got[i] for i in range(40)) and got[42] == prose(700, 8)
