@@ -96,13 +96,19 @@ def bbox_cells(df: DataFrame, cell: float, prefix: str = "") -> DataFrame:
     )
 
 
-def bounds_overlap(geoms: DataFrame, windows: DataFrame, cell: float) -> DataFrame:
+def bounds_overlap(geoms: DataFrame, windows: DataFrame, cell: float, extent: tuple[float, ...] | None = None) -> DataFrame:
     """Pairs of non-empty geometries and windows whose boxes meet.
 
     Both sides are put on a grid, so the join has an equality key; a pair is kept only
-    in the first cell the two boxes share. Windows carry tminx, tminy, tmaxx, tmaxy.
+    in the first cell the two boxes share. Windows carry tminx, tminy, tmaxx, tmaxy. With an
+    ``extent`` that holds all windows, boxes of geometries are cut to it first.
     """
-    g = bbox_cells(with_bbox(geoms.where("size(flatten(parts)) > 0")), cell)
+    g = with_bbox(geoms.where("size(flatten(parts)) > 0"))
+    if extent:
+        x0, y0, x1, y1 = (f"{v!r}D" for v in extent)
+        g = g.where(f"maxx >= {x0} AND minx <= {x1} AND maxy >= {y0} AND miny <= {y1}").withColumns({
+            "minx": F.expr(f"greatest(minx, {x0})"), "miny": F.expr(f"greatest(miny, {y0})"), "maxx": F.expr(f"least(maxx, {x1})"), "maxy": F.expr(f"least(maxy, {y1})")})
+    g = bbox_cells(g, cell)
     w = bbox_cells(windows, cell, "t")
     return g.join(w, ["gx", "gy"]).where(
         "maxx >= tminx AND minx <= tmaxx AND maxy >= tminy AND miny <= tmaxy"

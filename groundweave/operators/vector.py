@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.geo import reproject_parts, with_bbox
+from ..functions.geo import HALF_WORLD, reproject_parts, with_bbox
 from ..functions.palette import hex_channels
-from ..session import attach, bounded, each_of
+from ..session import attach, bounded, cut, each_of
 from . import runs as rn
 from .grid import bounds_overlap
 from .materials import overlay_colours
@@ -61,20 +61,46 @@ def bounds_fallback(aligned: DataFrame, original: DataFrame, bounds: DataFrame)
     return pairs.selectExpr("raster_id", "layer_idx", f"NOT ({hit('a_')}) AND ({hit('o_')}) AS use_original")
 
 
-def place(geoms: DataFrame, meta: DataFrame, cell: float = 4096.0) -> DataFrame:
+def place(geoms: DataFrame, meta: DataFrame, cell: float = 4096.0, extent: tuple[float, ...] | None = None) -> DataFrame:
     """Geometries on every raster whose bounds they meet, vertices in pixel units.
 
+    Coordinates are taken to be in the rasters' CRS; place_aligned sees to that.
+
     ``meta`` has raster_id, width, height, a, c, e, f. The pairing is an equality join on
     grid cells, so neither side is broadcast.
     """
     windows = meta.selectExpr(
         "raster_id", "width", "height", "a", "c", "e", "f", "least(c, c + width * a) AS tminx", "greatest(c, c + width * a) AS tmaxx",
         "least(f, f + height * e) AS tminy", "greatest(f, f + height * e) AS tmaxy")
-    return bounds_overlap(geoms, windows, cell).selectExpr(
+    return bounds_overlap(geoms, windows, cell, extent).selectExpr(
         *FEATURE, "kind", "width", "height",
         "transform(parts, p -> transform(p, v -> named_struct('x', (v.x - c) / a, 'y', (v.y - f) / e))) AS parts")
 
 
+def place_aligned(geoms: DataFrame, meta: DataFrame, cell: float = 4096.0) -> DataFrame:
+    """place() in the CRS of each raster, ``meta.epsg``.
+
+    A layer that misses a raster after alignment but hits it as written keeps its written
+    coordinates there. ``cell`` is in metres; rasters in degrees get a grid of that size in degrees.
+    """
+    degree = float(HALF_WORLD.rstrip("D")) / 180
+    cases = {"4326": cell / degree, "3857": cell, "cast(NULL AS int)": cell}  # no CRS, or one that isn't covered: as written
+    metas = meta.withColumn("_crs", F.expr("CASE WHEN epsg IN (4326, 3857) THEN cast(epsg AS string) ELSE 'cast(NULL AS int)' END"))
+    out = place(geoms.limit(0), meta, cell)
+    for (crs,) in metas.select("_crs").distinct().collect():  # at most 3 rows
+        here = metas.where(F.col("_crs") == crs)
+        aligned = align_crs(geoms, crs)
+        out = out.unionByName(place(aligned, here, cases[crs]))
+        bounds = here.selectExpr("raster_id", "least(c, c + width * a) AS left", "greatest(c, c + width * a) AS right", "least(f, f + height * e) AS bottom", "greatest(f, f + height * e) AS top")
+        back = cut(bounds_fallback(aligned, geoms, bounds).where("use_original").join(bounds, "raster_id"), "fallback")
+        extent = tuple(back.agg(F.min("left"), F.min("bottom"), F.max("right"), F.max("top")).first())
+        if extent[0] is not None:
+            written = geoms.join(back.select("layer_idx").distinct(), "layer_idx", "left_semi")
+            rasters = here.join(back.select("raster_id").distinct(), "raster_id", "left_semi")
+            out = out.unionByName(place(written, rasters, cases[crs], extent).join(back, KEYS, "left_semi"))
+    return out
+
+
 def _segments(placed: DataFrame) -> DataFrame:
     """One row per edge of every part."""
     edges = "flatten(transform(parts, p -> CASE WHEN size(p) < 2 THEN array(struct(p[0] AS s, p[0] AS t)) ELSE transform(sequence(1, size(p) - 1), i -> struct(p[i-1] AS s, p[i] AS t)) END))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.geo import reproject_parts
 from ..functions.palette import preset_classes, preset_rows
 from ..session import attach, cut
 
@@ -165,6 +166,13 @@ def geoms(spark: SparkSession, sf: str) -> DataFrame:
     return _TABLES[key]
 
 
+def mixed_geoms(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of geoms() with a CRS per layer: degrees, none, metres."""
+    return geoms(spark, sf).withColumns({
+        "parts": F.expr(f"CASE WHEN layer_idx % 3 = 0 THEN {reproject_parts('parts', '3857', '4326')} ELSE parts END"),
+        "epsg": F.expr("CASE layer_idx % 3 WHEN 0 THEN 4326 WHEN 2 THEN 3857 END")})
+
+
 def layers(spark: SparkSession, sf: str) -> DataFrame:
     """One layer per nation: the keys exercise every colour-resolution path."""
     return table(spark, sf, "nation").selectExpr(

@@ -98,9 +98,28 @@ def classify(pixels: DataFrame, classes: DataFrame, bands: list[str], k: int | N
     return smooth.join(lookup, "label", "left").fillna(0, ["material_idx", "r", "g", "b"]), model, mapping
 
 
+# Path of an output with vector layers, from the path of the classified one.
+VECTOR_OUTPUT = r"regexp_replace(output, r'^(.*/)?([^/]*?)(?:_classified)?(\.[^./]*)?$', '$1with_vectors/$2_with_vectors$3')"
+
+
 def overlay(classified: DataFrame, geoms: DataFrame, meta: DataFrame, colours: DataFrame, n_classes: int, cell: float = 4096.0) -> DataFrame:
-    """Vector layers painted over classified pixels, later layers on top."""
-    return vc.overlay(classified, vc.rasterize(vc.place(geoms, meta, cell)), colours, n_classes)
+    """Vector layers, moved to the CRS of each raster, painted over classified pixels, later layers on top."""
+    return vc.overlay(classified, vc.rasterize(vc.place_aligned(geoms, meta, cell)), colours, n_classes)
+
+
+def classify_batch(requests: DataFrame, pixels: DataFrame, classes: DataFrame, bands: list[str], layers: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+                   cell: float = 4096.0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A shared model, all rasters, then all overlays: results per request, painted pixels and the mapping.
+
+    ``layers`` are geometries, raster_meta and layer colours; outputs with them lie in a folder of their own.
+    """
+    done, _, mapping = classify(pixels.join(bounded(requests.select("raster_id").distinct()), "raster_id", "left_semi"), classes, bands, **options)
+    done = cut(done, "batch")
+    results = batch_results(requests, done)
+    if layers:
+        done = cut(overlay(done, *layers, classes.count(), cell), "batch-overlay")
+        results = results.withColumn("output", F.when(F.col("status") == "ok", F.expr(VECTOR_OUTPUT)).otherwise(F.col("output")))
+    return results, done, mapping
 
 
 def batch_results(requests: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -112,9 +131,11 @@ def batch_results(requests: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def batch_summary(results: DataFrame, keys: list[str]) -> DataFrame:
-    """ok / n, message and status of a batch; outputs stay rows of the results table."""
-    s = results.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.min(F.when(F.col("status") == "ok", F.col("output"))).alias("first_output"))
-    return s.selectExpr(*keys, "n", "ok", "CASE WHEN ok > 0 THEN 'ok' ELSE 'error' END AS status", "concat('Batch complete: ', ok, '/', n, ' succeeded') AS message", "first_output")
+    """ok / n, message, status, sorted output paths and errors of a batch."""
+    s = results.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.min(F.when(F.col("status") == "ok", F.col("output"))).alias("first_output"),
+                                   F.sort_array(F.collect_list(F.when(F.col("status") == "ok", F.col("output")))).alias("output_paths"),
+                                   F.sort_array(F.collect_list(F.when(F.col("status") != "ok", F.struct("raster_id", "message")))).alias("errors"))
+    return s.selectExpr(*keys, "n", "ok", "CASE WHEN ok > 0 THEN 'ok' ELSE 'error' END AS status", "concat('Batch complete: ', ok, '/', n, ' succeeded') AS message", "first_output", "output_paths", "errors")
 
 
 def duration_text(seconds: str) -> str:

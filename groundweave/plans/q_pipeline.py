@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import palette as pal
 from ..oracle.base import CTES, box, components, boxes, sql
-from ..session import cut, scratch_path
+from ..session import scratch_path
 from ..streaming import arrivals
 from . import pipeline as pl
-from .fixtures import SCORES, classes, geoms, pixel_table, progress, raster_meta, scene, table, user_classes
+from .fixtures import SCORES, classes, mixed_geoms, pixel_table, progress, raster_meta, scene, table, user_classes
 from .q_clustering import _move
 from .q_materials import CONT_CTES, DIV_CTES, MASK_CTES, SCORE_CTES, _RAILS, _RAIL_LAST, _ZM
 from .q_postproc import around
@@ -89,7 +89,7 @@ FULL = {**PIPE, **LAYER_CTES, **ALL_KINDS, "top_layer": "SELECT raster_id, row,
     FROM cls c LEFT JOIN top_layer t USING (raster_id, row, col) LEFT JOIN coloured p ON p.layer_idx = t.layer_idx""", **FULL))
 def classify_full(spark, sf):
     done = _run(spark, sf)[0]
-    return pl.overlay(done, geoms(spark, sf), raster_meta(spark, sf), coloured(spark, sf), 13, 64.0)
+    return pl.overlay(done, mixed_geoms(spark, sf), raster_meta(spark, sf), coloured(spark, sf), 13, 64.0)
 
 
 BATCH = {**PIPE,
@@ -106,16 +106,24 @@ def requested(spark, sf):
 
 
 def batch(spark, sf):
-    done, _, _ = _run(spark, sf, "median_1")
-    return requested(spark, sf), cut(done, "batch")
+    layers = mixed_geoms(spark, sf), raster_meta(spark, sf), coloured(spark, sf)
+    return pl.classify_batch(requested(spark, sf), scene(spark, sf), classes(spark), BANDS, layers, 64.0, k=K, smoothing="median_1", iterations=ITERATIONS)
 
 
 @query("classify_batch", "raster_id:i material:s pixels:l status:s message:s", sql(DEPS, """SELECT raster_id, material, pixels, CASE WHEN material IS NULL THEN 'error' ELSE 'ok' END AS status,
     CASE WHEN material IS NULL THEN 'raster not found' END AS message FROM res""", **BATCH))
 def classify_batch(spark, sf):
-    req, done = batch(spark, sf)
+    results, done, _ = batch(spark, sf)
     per = done.groupBy("raster_id", "material").agg(F.count("*").alias("n"))
-    return pl.batch_results(req, done).drop("pixels").join(per, "raster_id", "left").withColumn("pixels", F.coalesce("n", F.lit(0)))
+    return results.drop("pixels").join(per, "raster_id", "left").withColumn("pixels", F.coalesce("n", F.lit(0)))
+
+
+@query("classify_batch_overlay", PX + "r:i g:i b:i output:s", sql(DEPS + " meta anchors verts user_classes layers", """SELECT s.raster_id, s.row, s.col, coalesce(p.r, m.r) AS r, coalesce(p.g, m.g) AS g, coalesce(p.b, m.b) AS b,
+    '/out/with_vectors/scene_' || s.raster_id || '_with_vectors.tif' AS output
+    FROM sm s JOIN mapped m ON m.cluster = s.label LEFT JOIN top_layer t USING (raster_id, row, col) LEFT JOIN coloured p ON p.layer_idx = t.layer_idx""", **(FULL | BATCH)))
+def classify_batch_overlay(spark, sf):
+    results, done, _ = batch(spark, sf)
+    return done.join(results.select("raster_id", "output"), "raster_id")
 
 
 @query("batch_summary", "grp:i n:l ok:l status:s message:s first_output:s", sql("scene dims", """SELECT raster_id % 2 AS grp, count(*) AS n, count(*) FILTER (WHERE ok) AS ok,

@@ -91,3 +91,37 @@ def test_box_mean_uses_one_shuffle(spark, sf):
     from groundweave.operators import features as ft
     plan = ft.feature_table(fx.scene(spark, sf), pl.DEFAULT_FLAGS, BANDS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _painted(spark, geoms, epsg, step, c, f):
+    """Cells (row, col) that a layer paints on a raster of 8 x 8 cells."""
+    px = spark.createDataFrame([(1, r, c, 0, 0, 0) for r in range(8) for c in range(8)], "raster_id INT, row INT, col INT, r INT, g INT, b INT")
+    meta = spark.createDataFrame([(1, 8, 8, epsg, step, c, -step, f)], "raster_id INT, width INT, height INT, epsg INT, a DOUBLE, c DOUBLE, e DOUBLE, f DOUBLE")
+    colours = spark.createDataFrame([(0, 9, 9, 9)], "layer_idx INT, r INT, g INT, b INT")
+    geoms = spark.createDataFrame(geoms, "layer_idx INT, feature_id LONG, kind STRING, parts ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>, epsg INT")
+    return {(x["row"], x["col"]) for x in pl.overlay(px, geoms, meta, colours, 13).where("r = 9").collect()}
+
+
+def test_layers_are_moved_to_the_crs_of_a_raster(spark):
+    point = lambda x, y, epsg: [(0, 1, "point", [[(x, y)]], epsg)]
+    # longitude 9 and latitude 45 in metres
+    x, y = 1001875.417, 5621521.486193767
+    assert _painted(spark, point(9.0, 45.0, 4326), 3857, 1.0, x - 2.5, y + 5.5) == {(5, 2)}
+    assert _painted(spark, point(x, y, 3857), 4326, 0.01, 9.0 - 0.025, 45.0 + 0.055) == {(5, 2)}
+    assert _painted(spark, point(9.0, 45.0, None), 4326, 0.01, 9.0 - 0.025, 45.0 + 0.055) == {(5, 2)}
+    assert _painted(spark, point(9.0, 45.0, 4326), None, 0.01, 9.0 - 0.025, 45.0 + 0.055) == {(5, 2)}
+    # labelled 4326 but drawn in the raster's metres: misses it after alignment, hits it as written
+    assert _painted(spark, point(102.5, 44.5, 4326), 3857, 1.0, 100.0, 50.0) == {(5, 2)}
+    # a large shape as written is cut to the raster before it is put on a grid
+    square = [(0, 1, "polygon", [[(-1e6, -1e6), (1e6, -1e6), (1e6, 1e6), (-1e6, 1e6), (-1e6, -1e6)]], 3857)]
+    assert len(_painted(spark, square, 4326, 0.01, 20.0, 50.0)) == 64
+
+
+def test_batch_paints_every_output(spark, sf):
+    from groundweave.plans import q_pipeline as qp
+    results, done, mapping = qp.batch(spark, sf)
+    assert done.where("burn IS NOT NULL").select("raster_id").distinct().count() > 0 and mapping.count() == qp.K
+    s = pl.batch_summary(results.withColumn("g", F.lit(0)), ["g"]).first()
+    n = fx.dims(fx.scene(spark, sf)).count()
+    assert len(s.output_paths) == s.ok == n and all(p.startswith("/out/with_vectors/scene_") and p.endswith("_with_vectors.tif") for p in s.output_paths)
+    assert [e.message for e in s.errors] == ["raster not found"] * n
