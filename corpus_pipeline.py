@@ -21,7 +21,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundweave.llm.decontaminate import find_items
+from groundweave.llm.decontaminate import LEAST, find_items
 from groundweave.llm.minhash import near_duplicates
 from groundweave.llm.pieces import encode_pieces, id_width
 from groundweave.llm.registry import small_batches, table
@@ -70,7 +70,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return find_items(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(docs.columns)
+    return find_items(docs, table(spark, sf_dir, "benchmark"), least=LEAST).where(F.size("hits") == 0).select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

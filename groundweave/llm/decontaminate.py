@@ -6,7 +6,8 @@ pieces, at least one piece occurs unchanged wherever the item matches (pigeonhol
 automaton over all pieces finds every place to look at, and Myers' bit-parallel distance
 decides there. An item matches between blanks only, not inside words.
 
-Items with fewer than ``least`` characters are ordinary phrases and are not looked for.
+Every item with a letter or digit is looked for; under 1 / rate characters it has to occur
+unchanged. LEAST is for callers that don't act on items so short that they are ordinary phrases.
 Equal items are searched once and reported each. Items are handled in groups of bounded
 size, each against all rows. Null and empty texts have no hits; null items are skipped.
 """
@@ -143,7 +144,7 @@ def item_groups(benchmark: DataFrame, least: int) -> list[list[tuple[int, str]]]
     return groups
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = 1) -> DataFrame:
     """docs with ``hits``: for each item found its id, distance and place in the normal form."""
     spark = docs.sparkSession
     docs = docs.drop("hits")

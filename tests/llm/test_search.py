@@ -85,6 +85,14 @@ def test_decontamination_odd_rows(spark, docs_of, clashing, prose, monkeypatch):
     assert find_items(docs_of([]), benchmark).collect() == [] and find_items(docs, benchmark.limit(0)).count() == 4
 
 
+def test_short_items_are_found(spark, docs_of):
+    items = [(1, "Is it so?"), (2, "42"), (3, "a quick brown fox jumps"), (4, "?!"), (5, "a")]
+    benchmark = spark.createDataFrame(items, "item_id LONG, text STRING")
+    docs = docs_of([(1, "He asked: is it so"), (2, "room 42, or 421"), (3, "see a quick brovn fox jumps"), (4, "is it soon? 421 ?! quick brown fox"), (5, "is at so")])
+    got = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits"]] for r in find_items(docs, benchmark).collect()}
+    assert got == {1: [(1, 0)], 2: [(2, 0)], 3: [(3, 1), (5, 0)], 4: [], 5: []}
+
+
 def test_blocks():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>x</p>";</script></head><body><nav><p>menu</p></nav>
       <div class="ad">buy</div><div id="cookie-notice"><p>accept</p></div><article class="post"><header><h1>A &amp; B</h1></header><p>one<b>two</b>  three<br>four
