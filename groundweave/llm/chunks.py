@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 
 GENERATION = 250_000  # chunks in each of two generations
 LINE = 512  # chunks in one line
+TOGETHER = 1_000_000  # characters of texts whose new chunks are learnt together
 LONGEST = 64  # characters of a remembered chunk; longer ones are encoded each time
 TAILS = ".,;:!?"
 RUN = re.compile(r"\s\s")
@@ -162,6 +163,15 @@ class ChunkIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null is empty."""
+        out, first, size = [], 0, 0
+        for at, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= TOGETHER or at == len(texts):
+                out += self._encode(texts[first:at])
+                first, size = at, 0
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > GENERATION:
             self.known.older = {}
             self.known = _Generation(self.known)

@@ -28,73 +28,11 @@ import pandas as pd
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
+from groundweave.llm.chunks import chunk_ids, id_type
 from groundweave.llm.registry import query, table
 from groundweave.session import cut, scratch_path
 
-CACHED = 600_000  # chunks remembered by a task
-LINE = 256  # chunks encoded in one call
-TAILS = b".,;:!?"
-
-
-class ChunkEncoder:
-    """The tokenizer's ids of whole texts, by way of remembered white-space chunks.
-
-    Holds for tokenizers that drop white space, lower-case and never join letters with the
-    punctuation after them, which is checked for the file at hand.
-    """
-
-    def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
-        probe = "The word,\n and. oTHER;\tones: é? a!"
-        if self.plain(probe) != self.joined([probe])[0]:
-            raise ValueError(f"{path}: chunks of this tokenizer can't be encoded apart")
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHED:
-            self.known.clear()
-        for at in range(0, len(chunks), LINE):
-            line = [c.decode() for c in chunks[at:at + LINE]]
-            encoding = self.tokenizer.encode(" ".join(line), add_special_tokens=False)
-            starts = list(accumulate((len(c) + 1 for c in line[:-1]), initial=0))
-            begins = np.fromiter((a for a, _ in encoding.offsets), dtype=np.int64, count=len(encoding.ids))
-            raw, width = np.array(encoding.ids, dtype=self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-            cuts = [int(x) * width for x in np.searchsorted(begins, starts)] + [len(raw)]
-            self.known.update((c, raw[a:b]) for c, a, b in zip(chunks[at:at + LINE], cuts, cuts[1:]))
-
-    def joined(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; null is empty."""
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif "<|" in text:  # may hold a special token, which is told by its case
-                out.append(self.plain(text))
-            else:
-                chunks = text.encode().lower().split()
-                try:
-                    out.append(b"".join(map(self.known.__getitem__, chunks)))
-                except KeyError:
-                    out.append(self._with_new(chunks))
-        return out
-
-    def _with_new(self, chunks: list[bytes]) -> bytes:
-        new = {c for c in chunks if c not in self.known}
-        tailed = {c for c in new if len(c) > 1 and c[-1] in TAILS and 97 <= c[-2] <= 122}
-        whole = new - tailed | {c[:-1] for c in tailed} | {c[-1:] for c in tailed}
-        ids = {c: self.known[c] for c in whole if c in self.known} | {c: self.known[c] for c in set(chunks) - new}
-        missing = [c for c in whole if c not in ids]
-        self._learn(missing)
-        ids.update((c, self.known[c]) for c in missing)
-        ids.update((c, ids[c[:-1]] + ids[c[-1:]]) for c in tailed)
-        self.known.update((c, ids[c]) for c in tailed)
-        return b"".join(map(ids.__getitem__, chunks))
-
-
 def _mounted(uri: str) -> str:
     parts = urlparse(uri)
     if parts.scheme not in ("", "file"):
@@ -115,10 +53,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str | None =
     spark = docs.sparkSession
     folder = _mounted(folder or scratch_path(spark, "tokens"))
     os.makedirs(folder, exist_ok=True)
-    dtype = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
+    dtype = id_type(tokenizer, end)
 
     def write(batches):
-        encoder, part = ChunkEncoder(tokenizer, dtype), TaskContext.get().partitionId()
+        encoder, part = chunk_ids(tokenizer, dtype), TaskContext.get().partitionId()
         final = np.array([end], dtype=dtype).tobytes()
         path = f"{folder}/tokens-{part:06d}.bin"
         temporary, at = f"{path}.{uuid.uuid4().hex}", 0
@@ -127,10 +65,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str | None =
             if out is None:
                 out = open(temporary, "wb")
             counts = []
-            for first in range(0, len(pdf), 512):
-                ids = [x + final for x in encoder.joined(pdf["text"].iloc[first:first + 512].tolist())]
-                out.write(b"".join(ids))
-                counts += [len(x) // np.dtype(dtype).itemsize for x in ids]
+            for ids in encoder.encode(pdf["text"].tolist()):
+                out.write(ids)
+                out.write(final)
+                counts.append(len(ids) // np.dtype(dtype).itemsize + 1)
             yield pd.DataFrame({"part": part, "at": np.arange(at, at + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64"), "n": counts})
             at += len(pdf)
         if out is not None:

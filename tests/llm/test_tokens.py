@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from groundweave.llm import pieces, tokenbin
+from groundweave.llm import chunks, pieces
 from groundweave.llm.pieces import PieceModel, decode_pieces, encode_pieces
 from groundweave.llm.tokenbin import read_tokens, write_tokens
 
@@ -31,11 +31,14 @@ def test_files_hold_the_library_s_ids(spark, docs_of, odd_rows, prose):
     assert sorted(got, key=lambda r: r[1]) == expected(rows)
 
 
-def test_small_memory_of_chunks(spark, docs_of, prose, monkeypatch):
-    monkeypatch.setattr(tokenbin, "CACHED", 10)
-    encoder = tokenbin.ChunkEncoder(WORDS, "<u2")
-    texts = [prose(i, 40) for i in range(10)]
-    assert encoder.joined(texts) == [encoder.plain(t) for t in texts]
+@pytest.mark.parametrize("path", [WORDS, public_tokenizers.path("byte_bpe_50k.json")])
+def test_small_memory_of_chunks(prose, monkeypatch, path):
+    monkeypatch.setattr(chunks, "GENERATION", 10)
+    monkeypatch.setattr(chunks, "TOGETHER", 150)
+    monkeypatch.setattr(chunks, "LONGEST", 4)
+    encoder = chunks.ChunkIds(path, "<u2")
+    texts = [prose(i % 7, 40) for i in range(20)]
+    assert encoder.encode(texts) == [encoder.plain(t) for t in texts]
 
 
 def test_no_rows(spark, docs_of):
