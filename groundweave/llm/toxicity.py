@@ -4,12 +4,16 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text. E
 window of a text is compressed with both; its gain is the length under the ordinary less
 that under the toxic dictionary. Windows whose gain reaches a calibrated threshold are
 hits, and the share and strength of hits give the score through a logistic curve fitted on
-labelled texts that the dictionaries have not seen.
+labelled texts that the dictionaries have not seen, both labels weighing the same; its 0.5 is
+put where ALARMS of the ordinary texts among them are called toxic.
 
 The ordinary dictionary learns from whole ordinary texts. The toxic one learns from the words
 of toxic texts that are much more common there (SHARPNESS) and occur in enough places
-(SUPPORT); else both fill up with the same frequent prose. The trained content is used without its entropy
-tables, so that a window with no match costs the same under both.
+(SUPPORT), and is put before the ordinary one's content, so that ordinary prose is as long under both
+and only what marks toxic texts tells them apart. Trained content is used without zstandard's
+header and entropy tables. A window is compressed together with CARRIER bytes that both
+dictionaries hold: without them the library stores short windows as they are, and it seeks
+no match in a block's last bytes.
 
 Labels are learnt from at most ``per_label`` rows and ``label_bytes`` bytes of a label,
 taken by hash of doc_id. Every text is scored whole. Null, empty and wordless texts get
@@ -31,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundweave.llm.registry import query, table
 
 PER_LABEL, LABEL_BYTES = 4_000, 24_000_000
-DICTIONARY = {1: 2048, 0: 32768}  # bytes, toxic and ordinary
-SUPPORT, SHARPNESS = 0.02, 20.0  # share of a label's texts; ratio of shares
+DICTIONARY = {1: 4096, 0: 28_000}  # bytes, toxic and ordinary
+CARRIER = 32  # bytes
+SUPPORT, SHARPNESS = 0.004, 20.0  # share of a label's texts; ratio of shares
+ALARMS = 0.01
 WINDOW, STEP = 3, 2  # words
 WORD = re.compile(r"[^\W\d_]+")
 SETTINGS = dict(
-    window_log=15, hash_log=14, chain_log=14, search_log=3, min_match=5, strategy=zstandard.STRATEGY_DFAST,
+    window_log=16, hash_log=16, chain_log=16, search_log=4, min_match=5, strategy=zstandard.STRATEGY_GREEDY,
     write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
 )
 
@@ -63,59 +69,74 @@ def marking_text(toxic: list[list[str]], ordinary: list[list[str]]) -> list[byte
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
+    """Trained content without its header."""
+    joined = b"".join(samples)
     try:
-        return zstandard.train_dictionary(size, samples, k=24, d=6, level=3).as_bytes()
+        trained = zstandard.train_dictionary(size, samples, k=24, d=6, level=3).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: take what there is
-        return b"".join(samples)[-size:]
+        return joined[-size:]
+    start = next((at for at in range(8, min(len(trained), 1024)) if trained[at:at + 12] in joined), 0)  # content is cut from the samples
+    return trained[start:]
 
 
 class Model:
     """The two dictionaries, the hit threshold and the logistic curve."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.content = {1: toxic, 0: ordinary}
-        self.threshold, self.mean, self.scale, self.weights = 3, np.zeros(3), np.ones(3), np.array([-3.0, 0, 0, 0])
+        self.content = {1: toxic + ordinary, 0: ordinary}
+        self.carrier = ordinary[-CARRIER:]
+        self.threshold, self.mean, self.scale, self.weights = 3, np.zeros(4), np.ones(4), np.array([-3.0, 0, 0, 0, 0])
         self._compressors = None
 
     def __getstate__(self):
         return self.__dict__ | {"_compressors": None}
 
+    def _compressor(self, content: bytes):
+        settings = zstandard.ZstdCompressionParameters(**SETTINGS)
+        shared = None
+        if content:
+            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(compression_params=settings)  # indexes every place of it
+        return zstandard.ZstdCompressor(dict_data=shared, compression_params=settings)
+
     def _lengths(self, label: int, found: list[bytes]) -> np.ndarray:
         if self._compressors is None:
-            self._compressors = {
-                k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if v else None, compression_params=zstandard.ZstdCompressionParameters(**SETTINGS))
-                for k, v in self.content.items()
-            }
+            self._compressors = {k: self._compressor(v) for k, v in self.content.items()}
         return np.fromiter(map(len, self._compressors[label].multi_compress_to_buffer(found)), dtype=np.int64, count=len(found))
 
     def gains(self, found: list[str]) -> np.ndarray:
-        cut = windows(found)
-        parts = [cut[i:i + 65536] for i in range(0, len(cut), 65536)]
+        cut = [w + self.carrier for w in windows(found)]
+        parts = [cut[i:i + 16384] for i in range(0, len(cut), 16384)]
         return np.concatenate([self._lengths(0, p) - self._lengths(1, p) for p in parts]) if parts else np.zeros(0, np.int64)
 
     def features(self, gains: np.ndarray, threshold: int) -> list[float]:
         hits = gains[gains >= threshold]
-        return [np.log1p(len(hits)), min(1.0, 20 * len(hits) / max(len(gains), 1)), min(15.0, hits.max()) if len(hits) else 0.0]
+        share = len(hits) / max(len(gains), 1)
+        best = np.sort(hits)[-3:]
+        return [np.log1p(len(hits)), min(1.0, 20 * share), min(1.0, 5 * hits.sum() / max(len(gains), 1)), min(30.0, float(best.sum()))]
 
     def score(self, found: list[str]) -> float:
         x = (np.array(self.features(self.gains(found), self.threshold)) - self.mean) / self.scale
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))))
 
     def calibrate(self, texts: list[list[str]], labels: np.ndarray) -> None:
-        """Take the threshold and the curve that make the labels likeliest."""
+        """Take the threshold and the curve that make the labels likeliest, both labels weighing the same."""
         gains, best = [self.gains(t) for t in texts], np.inf
-        for threshold in range(1, 10):
+        weight = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1)) * len(labels)
+        for threshold in range(1, 8):
             raw = np.array([self.features(g, threshold) for g in gains])
             mean, scale = raw.mean(axis=0), raw.std(axis=0) + 1e-6
             x = np.column_stack([np.ones(len(raw)), (raw - mean) / scale])
-            w, ridge = np.zeros(4), np.diag([0.0, 1, 1, 1])
+            w, ridge = np.zeros(5), np.diag([0.0, 1, 1, 1, 1])
             for _ in range(25):  # Newton steps
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(4), x.T @ (p - labels) + ridge @ w)
-            p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-            loss = -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+                w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(5), x.T @ (weight * (p - labels)) + ridge @ w)
+            z = np.clip(x @ w, -30, 30)
+            p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
+            loss = -np.mean(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p)))
             if loss < best:
-                best, self.threshold, self.mean, self.scale, self.weights = loss, threshold, mean, scale, w
+                cut = np.quantile(z[labels == 0], 1 - ALARMS, method="higher") + 1e-6
+                best, self.threshold, self.mean, self.scale, self.weights = loss, threshold, mean, scale, w - np.append(cut, np.zeros(4))
 
 
 def fit(rows: list[tuple[int, str, int]]) -> Model | float:
