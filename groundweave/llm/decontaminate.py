@@ -21,7 +21,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundweave.llm.registry import query, table
+from groundweave.llm.registry import giving_back, query, table
 
 RATE, LEAST = 0.05, 30
 GROUP_CHARS = 8_000_000  # characters of items in one automaton
@@ -161,7 +161,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least:
                 pdf["hits"] = [[*before, *(dict(zip(NAMES, h)) for h in finder.hits(t))] for before, t in zip(pdf["hits"], pdf["text"])]
                 yield pdf[[*names, "hits"]]
 
-        out = out.mapInPandas(search, f"{fields}, hits array<{HIT}>")
+        out = out.mapInPandas(giving_back(search), f"{fields}, hits array<{HIT}>")
     return out
 
 

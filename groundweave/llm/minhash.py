@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundweave.llm.components import components
-from groundweave.llm.registry import query, table
+from groundweave.llm.registry import giving_back, query, table
 from groundweave.llm.words import WordHashes, mix, shingles, words
 from groundweave.session import bounded, cut
 
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
             yield frame
 
     slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return slim.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>")
+    return slim.mapInPandas(giving_back(sign), "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>")
 
 
 def confirm(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -116,7 +116,7 @@ def confirm(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
             yield pdf.loc[keep, ["a", "b"]]
 
     paired = edges.join(side("a"), "a").join(side("b"), "b")
-    return paired.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long").distinct()
+    return paired.select("a", "b", "text_a", "text_b").mapInPandas(giving_back(check), "a long, b long").distinct()
 
 
 def _alike(percent: int):
@@ -230,7 +230,7 @@ def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             yield pdf[["id", "shingles"]]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(ids), "id", "left_semi")
-    return texts.mapInPandas(build, "id long, shingles binary")
+    return texts.mapInPandas(giving_back(build), "id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -27,9 +27,9 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundweave.llm.registry import query, table
+from groundweave.llm.registry import giving_back, query, table
 
-REMEMBERED = 300_000  # units
+REMEMBERED = 200_000  # units
 LONGEST_TOGETHER = 48  # characters; longer units are searched one by one
 SLOT_BITS = 20
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -282,7 +282,7 @@ class PieceModel:
 
 @functools.lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
-    """One model in each Python worker, with the units it remembers."""
+    """One model in each Python worker; units are remembered within a task."""
     return PieceModel(path)
 
 
@@ -309,8 +309,9 @@ def encode_pieces(docs: DataFrame, model: str, nbest: int = 3, with_others: bool
             if with_decoded:
                 pdf["decoded"] = [pieces.decode(d[0]) for d in done]
             yield pdf[names]
+        pieces.forget()  # the next task of this worker may be another stage's
 
-    return docs.mapInPandas(encode, _fields(docs) + ", ids binary, scores array<double>" + ", other_ids array<binary>" * with_others + ", decoded string" * with_decoded)
+    return docs.mapInPandas(giving_back(encode), _fields(docs) + ", ids binary, scores array<double>" + ", other_ids array<binary>" * with_others + ", decoded string" * with_decoded)
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:

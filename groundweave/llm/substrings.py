@@ -28,15 +28,15 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundweave.llm.registry import query, table
+from groundweave.llm.registry import giving_back, query, table
 from groundweave.llm.words import WordHashes, mix, rolling, words
 from groundweave.session import MAX_BROADCAST_ROWS, cut
 
 GRAM = 5
 SAMPLE = 8_192  # texts read to find common grams
 COMMON = 0.005  # share of texts from which on a gram is common
-PACK = 1_500_000  # bytes of text packed together
-BUCKET = 8_000_000  # bytes of text a bucket is planned for (its super-k-mers hold about three times that)
+PACK = 1_000_000  # bytes of text packed together
+BUCKET = 5_000_000  # bytes of text a bucket is planned for (its super-k-mers hold about three times that)
 SMALL = 50_000  # bytes of super-k-mers of one minimiser whose windows are sorted as they are
 LOWEST = -(2**63)
 PLACES = ["__k1", "__k2"]  # doc_id, and a hash of the text
@@ -66,7 +66,7 @@ def common_grams(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
             several = counts > 0 if len(pdf) < 64 else counts > 1  # a common gram is there twice in so many texts
             yield pd.DataFrame({"gram": np.append(values[several].view(np.int64), 0), "n": np.append(counts[several], 0), "texts": [0] * several.sum() + [len(pdf)], "bytes": [0] * several.sum() + [length]})
 
-    counted = cut(sample.mapInPandas(grams, "gram long, n long, texts long, bytes long"), "grams")
+    counted = cut(sample.mapInPandas(giving_back(grams), "gram long, n long, texts long, bytes long"), "grams")
     texts, length = counted.agg(F.sum("texts"), F.sum("bytes")).first()
     if not texts:
         return np.zeros(0, np.uint64), 0
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
                 found = []
         yield pd.DataFrame(found, columns=["k1", "k2", "from", "to"])
 
-    return keyed.mapInPandas(pack, PACKS).repartitionById(buckets, "bucket").mapInPandas(search, SPAN)
+    return keyed.mapInPandas(giving_back(pack), PACKS).repartitionById(buckets, "bucket").mapInPandas(giving_back(search), SPAN)
 
 
 def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
             yield pdf[[*names, "n_words", "n_removed", "kept_text"]]
 
     joined = _keyed(docs).join(spans, PLACES, "left").drop(*PLACES)
-    return joined.mapInPandas(keep, f"{fields}, n_words long, n_removed long, kept_text string")
+    return joined.mapInPandas(giving_back(keep), f"{fields}, n_words long, n_removed long, kept_text string")
 
 
 ORACLE = r"""

@@ -5,7 +5,7 @@ window of a text is compressed with both; its gain is the length under the ordin
 that under the toxic dictionary. Windows whose gain reaches a calibrated threshold are
 hits, and the share and strength of hits give the score through a logistic curve fitted on
 labelled texts that the dictionaries have not seen, both labels weighing the same; its 0.5 is
-put where ALARMS of the ordinary texts among them are called toxic.
+put where misses and false alarms among them cost least, the latter being at most ALARMS.
 
 The ordinary dictionary learns from whole ordinary texts. The toxic one learns from the words
 of toxic texts that are much more common there (SHARPNESS) and occur in enough places
@@ -32,13 +32,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundweave.llm.registry import query, table
+from groundweave.llm.registry import giving_back, query, table
 
 PER_LABEL, LABEL_BYTES = 4_000, 24_000_000
 DICTIONARY = {1: 4096, 0: 28_000}  # bytes, toxic and ordinary
 CARRIER = 32  # bytes
 SUPPORT, SHARPNESS = 0.004, 20.0  # share of a label's texts; ratio of shares
-ALARMS = 0.01
+ALARMS, ALARM_COST = 0.01, 5.0  # most false alarms; what a share of them costs against the same share of misses
 WINDOW, STEP = 3, 2  # words
 WORD = re.compile(r"[^\W\d_]+")
 SETTINGS = dict(
@@ -135,10 +135,21 @@ class Model:
             p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
             loss = -np.mean(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p)))
             if loss < best:
-                cut = np.quantile(z[labels == 0], 1 - ALARMS, method="higher") + 1e-6
+                cut = cut_between(z[labels == 0], z[labels == 1])
                 best, self.threshold, self.mean, self.scale, self.weights = loss, threshold, mean, scale, w - np.append(cut, np.zeros(4))
 
 
+def cut_between(ordinary: np.ndarray, toxic: np.ndarray) -> float:
+    """Where 0.5 belongs: the middle of the gap that costs least, calling at most ALARMS of the ordinary texts toxic."""
+    values = np.unique(np.concatenate([ordinary, toxic]))
+    cuts = np.append((values[1:] + values[:-1]) / 2, values[-1] + 1e-6)
+    width = np.append(np.diff(values), 0.0)
+    alarms = 1 - np.searchsorted(np.sort(ordinary), cuts) / len(ordinary)
+    cost = np.searchsorted(np.sort(toxic), cuts) / len(toxic) + ALARM_COST * alarms
+    allowed = np.flatnonzero(alarms <= ALARMS)
+    return float(cuts[min(allowed, key=lambda i: (cost[i], -width[i]))])
+
+
 def fit(rows: list[tuple[int, str, int]]) -> Model | float:
     """rows: (doc_id, text, toxic). The dictionaries learn from one half, the curve from the other."""
     texts = {k: [(doc, tokens(t)) for doc, t, y in sorted(rows) if y == k] for k in (0, 1)}
@@ -193,7 +204,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn, per_label: int = P
             yield pdf[[*names, "score", "predicted"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(score, f"{fields}, score double, predicted int")
+    return docs.mapInPandas(giving_back(score), f"{fields}, score double, predicted int")
 
 
 def held_out(modulus: int, remainder: int):
