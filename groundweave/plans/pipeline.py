@@ -10,9 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import clustering as cl, features as ft, materials as mt, postproc as pp, sampling as sp, semantics as sem, vector as vc
+from ..operators import clustering as cl, features as ft, grouped as gr, materials as mt, postproc as pp, sampling as sp, semantics as sem, vector as vc
 from ..functions.palette import hex_channels
-from ..session import bounded, cut
+from ..session import attach, bounded, cut
 
 DEFAULT_FLAGS = {"spectral": True, "texture": False, "indices": True, "color_indices": False, "entropy": False}
 
@@ -98,6 +98,37 @@ def classify(pixels: DataFrame, classes: DataFrame, bands: list[str], k: int | N
     return smooth.join(lookup, "label", "left").fillna(0, ["material_idx", "r", "g", "b"]), model, mapping
 
 
+def own_mapping(labelled: DataFrame, classes: DataFrame, k: int, metres: str = "4.5D") -> DataFrame:
+    """A cluster-to-material mapping for each raster: its own mean colours, counts, scores and scene prior."""
+    colours = mt.cluster_rgb(labelled, k)
+    scores = sem.semantic_scores(labelled, k)
+    counts = labelled.groupBy("raster_id", "label").agg(F.count("*").alias("pixels"))
+    table = scores.join(colours.withColumnRenamed("label", "cluster"), ["raster_id", "cluster"]).join(
+        counts.withColumnRenamed("label", "cluster"), ["raster_id", "cluster"], "left").fillna(0, ["pixels"])
+    table = cut(table.withColumnRenamed("raster_id", "model_id"), "clusters")  # k rows per raster
+    _, priors = sem.scene_prior(labelled, classes, metres)
+    return cut(mt.map_clusters(table, classes, priors), "mapping")
+
+
+def classify_each(pixels: DataFrame, classes: DataFrame, bands: list[str], k: int | None = None, flags: dict | None = None, smoothing: str = "none",
+                  iterations: int = 80, tol: float = gr.TOLERANCE, metres: str = "4.5D") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every raster by a model and a mapping of its own: classified pixels, models and mappings.
+
+    All rasters are one job. Preset classes are mapped by the raster's own cluster colours, shares,
+    semantics and scene prior (``metres`` is the ground size of a pixel, as SQL).
+    """
+    flags, k = flags or DEFAULT_FLAGS, k or classes.count()
+    names = ft.feature_columns(flags, bands)
+    table = cut(ft.feature_table(pixels, flags, bands, [b for b in bands]), "features")
+    scaled = cut(gr.scale_each(table, names, ["height", "width", *bands])[0], "scaled")
+    models = gr.fit_each(gr.pack_blocks(scaled, names), gr.start_models(scaled, names, [k]), len(names), iterations, tol)
+    labelled = cut(gr.label_each(scaled, names, models, k).select("raster_id", "row", "col", "height", "width", *bands, "label"), "labels")
+    mapping = own_mapping(labelled, classes, k, metres)
+    smooth = pp.smooth(labelled, smoothing)
+    lookup = mapping.selectExpr("model_id AS raster_id", "cluster AS label", "material_idx", "material", "r", "g", "b")
+    return attach(smooth, lookup, ["raster_id", "label"]).fillna(0, ["material_idx", "r", "g", "b"]), models, mapping
+
+
 # Path of an output with vector layers, from the path of the classified one.
 VECTOR_OUTPUT = r"regexp_replace(output, r'^(.*/)?([^/]*?)(?:_classified)?(\.[^./]*)?$', '$1with_vectors/$2_with_vectors$3')"
 

@@ -180,14 +180,14 @@ def elbow_curvature(spark, sf):
     return cl.elbow_curvature(score_table(spark, sf), ["model_id"])
 
 
-@query("recommend_k", "model_id:l k:i", sql("", """SELECT model_id, min(k) AS k FROM (SELECT *, max(score) OVER (PARTITION BY model_id) AS best FROM (
+@query("recommend_scores", "model_id:l k:i", sql("", """SELECT model_id, min(k) AS k FROM (SELECT *, max(score) OVER (PARTITION BY model_id) AS best FROM (
     SELECT model_id, k, 0.45 * coalesce((silhouette - min(silhouette) OVER w) / nullif(max(silhouette) OVER w - min(silhouette) OVER w, 0), 0.5)
       + 0.25 * coalesce((ch - min(ch) OVER w) / nullif(max(ch) OVER w - min(ch) OVER w, 0), 0.5)
       + 0.20 * coalesce((max(db) OVER w - db) / nullif(max(db) OVER w - min(db) OVER w, 0), 0.5)
       + 0.10 * coalesce((curvature - min(curvature) OVER w) / nullif(max(curvature) OVER w - min(curvature) OVER w, 0), 0.5)
       - 0.05 * (k - min(k) OVER w)::DOUBLE / greatest(1, max(k) OVER w - min(k) OVER w) AS score FROM curved WINDOW w AS (PARTITION BY model_id)))
     WHERE best - score <= 0.03 GROUP BY model_id""", **_SCORES))
-def recommend_k(spark, sf):
+def recommend_scores(spark, sf):
     return cl.recommend_k(score_table(spark, sf), ["model_id"])
 
 
@@ -206,9 +206,9 @@ def training_budget(spark, sf):
     return px.groupBy().agg(F.lit(4).alias("features"), F.lit(budget).alias("budget"))
 
 
-@query("folder_median_k", "k:i", sql("", """SELECT round_even(quantile_cont(2 + o_custkey % 9, 0.5), 0) AS k FROM orders
+@query("folder_quick_k", "k:i", sql("", """SELECT round_even(quantile_cont(2 + o_custkey % 9, 0.5), 0) AS k FROM orders
     WHERE o_orderkey IN (SELECT floor(i * (SELECT count(*) - 1 FROM orders)::DOUBLE / 4) FROM (SELECT unnest(range(5)) AS i))"""))
-def folder_median_k(spark, sf):
+def folder_quick_k(spark, sf):
     per = table(spark, sf, "orders").selectExpr("o_orderkey AS pos", "cast(2 + o_custkey % 9 AS int) AS k")
     return cl.folder_median_k(per, 5)
 
