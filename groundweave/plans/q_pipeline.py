@@ -159,8 +159,8 @@ def stream_progress(spark, sf):
     folder, out, state = (scratch_path(spark, n) for n in ("events", "progress", "state"))
     events = progress(spark, sf)
     events.write.parquet(folder)
-    arrivals.progress_stream(spark, folder, events.schema, out, state)
-    return spark.read.parquet(out)
+    arrivals.progress_stream(spark, folder, events.schema, out, state, files=2)
+    return arrivals.latest(spark, out)
 
 
 @query("stream_classify", PX + "label:i material:s r:i g:i b:i", sql(DEPS, _CLASSIFIED, **PIPE))
@@ -168,6 +168,6 @@ def stream_classify(spark, sf):
     px = pixel_table(spark, sf).drop("label", "zone")
     _, model, mapping = _run(spark, sf)
     folder, out, state = (scratch_path(spark, n) for n in ("incoming", "classified", "state"))
-    px.write.parquet(folder)
-    arrivals.classify_arrivals(spark, folder, px.schema, out, state, model, mapping, classes(spark), BANDS)
+    px.repartition(3, F.expr("xxhash64(raster_id, row, col)")).write.parquet(folder)  # every raster is split over all files
+    arrivals.classify_arrivals(spark, folder, px.schema, out, state, model, mapping, classes(spark), BANDS, files=1)
     return spark.read.parquet(out)
