@@ -122,22 +122,39 @@ class PieceModel:
                 incoming[i + 1].append((i, score, raw))
                 if base + score > forward[i + 1]:
                     forward[i + 1] = base + score
-        width, out = self.dtype.itemsize, []
-        heap, ends = [(-forward[length], 0, b"", length, 0.0)], []
+        # An entry is a way from a place to the end: its estimate, pieces, first ids and the entry it goes
+        # on with. Ways from one place come in their final order, so the first n of each are enough.
+        width, out, popped, ends = self.dtype.itemsize, [], [0] * (length + 1), []
+        heap, turn = [(-forward[length], 0, b"", 0, length, 0.0, None)], 0
         while heap and len(out) < n:
-            estimate, count, ids, at, done = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            estimate, count, _, _, at, done, _ = entry
+            if popped[at] >= n:
+                continue
+            popped[at] += 1
             if not at:
-                out.append((-estimate, count, ids))
+                out.append((-estimate, count, self._path(entry)))
                 continue
+            turn += 1
             for start, score, raw in incoming[at]:
+                if popped[start] >= n:
+                    continue
                 total = -(done + score + forward[start])
                 if len(ends) >= n and total > ends[-1]:  # n whole segmentations are better
                     continue
                 if not start:
                     ends = sorted([*ends, total])[:n]
-                heapq.heappush(heap, (total, count + len(raw) // width, raw + ids, start, done + score))
+                heapq.heappush(heap, (total, count + len(raw) // width, raw, turn, start, done + score, entry))
         return out
 
+    @staticmethod
+    def _path(entry: tuple) -> bytes:
+        ids = []
+        while entry is not None:
+            ids.append(entry[2])
+            entry = entry[6]
+        return b"".join(ids)
+
     def _two_best(self, units: list[str]) -> None:
         """Remember the best segmentation of new units of one length, and what the second best loses.
 
