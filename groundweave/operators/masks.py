@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import bounded, cut, where_once
@@ -65,26 +66,44 @@ def contour_area(comps: DataFrame) -> DataFrame:
     return comps.select("raster_id", "comp").distinct().join(quads, ["raster_id", "comp"], "left").fillna(0.0, ["contour_area"])
 
 
+HULL_ROWS = 512  # rows of a component in one partial hull
+
+
+def convex_hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners of the convex hull in order (monotone chain)."""
+    points = sorted(set(points))
+
+    def half(ordered):
+        kept: list[tuple[int, int]] = []
+        for x, y in ordered:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (y - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (x - kept[-2][0]) <= 0:
+                kept.pop()
+            kept.append((x, y))
+        return kept
+
+    return points if len(points) < 3 else half(points)[:-1] + half(points[::-1])[:-1]
+
+
 def hull_area(comps: DataFrame) -> DataFrame:
-    """Area of each component's convex hull, from the end pixels of its rows."""
+    """Area of each component's convex hull, from the end pixels of its rows.
+
+    Hulls of HULL_ROWS rows come first and the hull of their corners then, so a task holds a
+    bounded part of a component, or the corners of its parts.
+    """
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = convex_hull([*zip(pdf["c0"].tolist(), pdf["row"].tolist()), *zip(pdf["c1"].tolist(), pdf["row"].tolist())])
+        return pd.DataFrame({"raster_id": pdf["raster_id"].iloc[0], "comp": pdf["comp"].iloc[0], "x": [x for x, _ in hull], "y": [y for _, y in hull]})
+
+    def area(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = convex_hull(list(zip(pdf["x"].tolist(), pdf["y"].tolist())))
+        twice = sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1]))
+        return pd.DataFrame({"raster_id": [pdf["raster_id"].iloc[0]], "comp": [pdf["comp"].iloc[0]], "hull_area": [abs(twice) / 2]})
+
     ends = comps.groupBy("raster_id", "comp", "row").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"))
-    # Two points per row of a detector tile (at most about a thousand rows).
-    packed = ends.groupBy("raster_id", "comp").agg(F.array_sort(F.collect_list(F.struct("row", "c0", "c1"))).alias("rows"))
-    cross = "cast((p.x - o.x) AS bigint) * (q.y - o.y) - cast((p.y - o.y) AS bigint) * (q.x - o.x)"
-
-    def chain(points, sign):
-        # Monotone chain: drop the last point while it does not turn the right way.
-        keep = ("aggregate(reverse(acc), named_struct('n', size(acc), 'go', true), (st, p) -> CASE WHEN st.go AND st.n >= 2 AND "
-                f"{sign} * ({cross.replace('p.', 'acc[st.n - 1].').replace('o.', 'acc[st.n - 2].')}) <= 0 THEN named_struct('n', st.n - 1, 'go', true) "
-                "ELSE named_struct('n', st.n, 'go', false) END).n")
-        return f"aggregate({points}, cast(array() AS array<struct<x: int, y: int>>), (acc, q) -> array_append(slice(acc, 1, {keep}), q))"
-
-    left = "transform(rows, t -> named_struct('x', t.c0, 'y', t.row))"
-    right = "transform(rows, t -> named_struct('x', t.c1, 'y', t.row))"
-    hull = packed.selectExpr("raster_id", "comp", f"{chain(left, -1)} AS l", f"{chain(right, 1)} AS r")
-    ring = hull.selectExpr("raster_id", "comp", "concat(l, reverse(r)) AS ring")
-    shoelace = "abs(aggregate(sequence(0, size(ring) - 1), 0L, (s, i) -> s + cast(ring[i].x AS bigint) * ring[(i + 1) % size(ring)].y - cast(ring[(i + 1) % size(ring)].x AS bigint) * ring[i].y)) / 2.0D"
-    return ring.selectExpr("raster_id", "comp", f"{shoelace} AS hull_area")
+    keys = ", ".join(f"{c} {comps.schema[c].dataType.simpleString()}" for c in ("raster_id", "comp"))
+    parts = ends.withColumn("part", F.expr(f"row div {HULL_ROWS}")).groupBy("raster_id", "comp", "part").applyInPandas(corners, f"{keys}, x int, y int")
+    return parts.groupBy("raster_id", "comp").applyInPandas(area, f"{keys}, hull_area double")
 
 
 def component_shape(comps: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import attach, bounded, cut
@@ -263,49 +265,66 @@ def fill_holes(runs: DataFrame, dims: DataFrame, keys: list[str] = KEYS) -> Data
     return union(runs, back.join(holes, [*keys, "comp"], "left_semi"), keys)
 
 
-def nearest_source(targets: DataFrame, pixels: DataFrame, source: str, start: int = 16, tile: int = 256) -> DataFrame:
+ROWS = 8  # rows of a raster in one group of the row pass
+
+
+def lower_envelope(columns: list[int], source_rows: list[int], row: int, height: int, width: int) -> tuple[list[int], list[int]]:
+    """Which column's source is nearest from where on along a row: (first position, column index), ascending.
+
+    Each column's nearest source is a parabola over the row. Costs order by squared distance, then
+    source row, then source column, in one integer, so no two are equal.
+    """
+    unit = (height + 1) * (width + 1)
+    starts, kept, bases = [], [], []
+    for i, (c, r) in enumerate(zip(columns, source_rows)):
+        base = unit * ((row - r) * (row - r) + c * c) + r * (width + 1) + c
+        while kept:
+            start = (base - bases[-1]) // (2 * unit * (c - columns[kept[-1]])) + 1  # from here on this one is nearer
+            if start > starts[-1]:
+                break
+            starts.pop(), kept.pop(), bases.pop()
+        starts.append(start if kept else -1)
+        kept.append(i)
+        bases.append(base)
+    return starts, kept
+
+
+def nearest_source(targets: DataFrame, pixels: DataFrame, source: str) -> DataFrame:
     """Nearest source pixel of every target: adds src_row, src_col (null when there is none).
 
-    Minimises (squared distance, source row, source column). ``pixels`` is the dense
-    raster (raster_id, row, col, height, width) and ``source`` a condition over it. Only
-    tiles near a target are searched; the radius grows for targets still unresolved.
+    Minimises (squared distance, source row, source column), by a separable exact distance
+    transform: the nearest source of each column by running last and first sources, then
+    the lower envelope of the columns' parabolas along each row that has targets. Rows are
+    as many as the cells of such rows, whatever the distances, and a raster without
+    targets or sources is left out at once. ``pixels`` is the dense raster (raster_id, row,
+    col, height, width) and ``source`` a condition over it.
     """
-    spark = targets.sparkSession
     todo = cut(targets.select("raster_id", "row", "col").distinct(), "targets")
-    size = cut(pixels.select("raster_id", "height", "width").distinct(), "size")
-    reach = size.agg(F.max(F.greatest("height", "width"))).first()[0] or 0
-    done, radius = None, start
-    while True:
-        span = lambda p, r: f"sequence(cast((greatest(0, {p} - {r})) div {tile} AS int), cast(({p} + {r}) div {tile} AS int))"
-        near = todo.selectExpr("raster_id", f"explode({span('row', radius)}) AS t", "col").selectExpr(
-            "raster_id", "t AS trow", f"explode({span('col', radius)}) AS tcol").distinct()
-        # Pixels of those tiles; a source is seen from every row within the radius through
-        # its column's running last/first source.
-        cells = pixels.selectExpr("raster_id", "row", "col", f"CASE WHEN {source} THEN row END AS s",
-                                  f"cast(row div {tile} AS int) AS trow", f"cast(col div {tile} AS int) AS tcol")
-        cells = cells.join(near, ["raster_id", "trow", "tcol"], "left_semi")
-        band = cells.selectExpr(
-            "raster_id", "row", "col", "s", "tcol",
-            f"explode({span('row', radius)}) AS brow").where(f"s IS NOT NULL OR row div {tile} = brow")
-        column = W.partitionBy("raster_id", "brow", "tcol", "col").orderBy("row")
-        seen = band.withColumns({
-            "up": F.last("s", True).over(column.rowsBetween(W.unboundedPreceding, 0)),
-            "down": F.first("s", True).over(column.rowsBetween(0, W.unboundedFollowing)),
-        }).where(f"row div {tile} = brow AND (up IS NOT NULL OR down IS NOT NULL)").selectExpr(
-            "raster_id", "row", "col AS src_col",
-            "CASE WHEN down IS NULL OR row - up <= down - row THEN up ELSE down END AS src_row")
-        reached = todo.selectExpr("*", f"explode(sequence(greatest(0, col - {radius}), col + {radius})) AS src_col").join(
-            seen, ["raster_id", "row", "src_col"])
-        best = reached.withColumn("d2", F.expr("cast(row - src_row AS bigint) * (row - src_row) + cast(col - src_col AS bigint) * (col - src_col)")).groupBy(
-            "raster_id", "row", "col").agg(F.min(F.struct("d2", "src_row", "src_col")).alias("m"))
-        final = radius >= reach
-        ok = best if final else best.where(f"m.d2 <= {radius * radius}")
-        found = cut(ok.select("raster_id", "row", "col", "m.src_row", "m.src_col"), "nearest")
-        done = found if done is None else done.unionByName(found)
-        if final:
-            break
-        todo = cut(todo.join(found, ["raster_id", "row", "col"], "left_anti"), "targets")
-        if todo.isEmpty():
-            break
-        radius = min(reach, radius * 4)
-    return targets.join(done, ["raster_id", "row", "col"], "left")
+    flagged = pixels.selectExpr("raster_id", "row", "col", "height", "width", f"({source}) AS src")
+    has = flagged.where("src").select("raster_id").distinct().join(todo.select("raster_id").distinct(), "raster_id")
+    rows = todo.select("raster_id", "row").distinct().withColumn("wanted", F.lit(True))
+    cells = attach(attach(flagged, has, ["raster_id"], "inner"), rows, ["raster_id", "row"]).where("src OR wanted")
+    column = W.partitionBy("raster_id", "col").orderBy("row")  # a raster's height at most
+    seen = cells.withColumn("s", F.expr("CASE WHEN src THEN row END")).withColumns({
+        "up": F.last("s", True).over(column.rowsBetween(W.unboundedPreceding, 0)),
+        "down": F.first("s", True).over(column.rowsBetween(0, W.unboundedFollowing)),
+    }).where("wanted AND (up IS NOT NULL OR down IS NOT NULL)").selectExpr(
+        "raster_id", "row", "col", "height", "width", "CASE WHEN down IS NULL OR row - up <= down - row THEN up ELSE down END AS src_row", "false AS target")
+    asking = attach(todo, has, ["raster_id"], "inner").selectExpr("raster_id", "row", "col", "0 AS height", "0 AS width", "cast(null AS int) AS src_row", "true AS target")
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row, part in pdf.groupby("row"):
+            given, wanted = part[~part["target"]].sort_values("col"), part[part["target"]]
+            if given.empty or wanted.empty:
+                continue
+            columns, found = given["col"].tolist(), given["src_row"].astype("int64").tolist()
+            starts, kept = lower_envelope(columns, found, int(row), int(given["height"].iloc[0]), int(given["width"].iloc[0]))
+            at = wanted["col"].to_numpy()
+            best = [kept[i] for i in (np.searchsorted(starts, at, side="right") - 1).tolist()]
+            out.append(pd.DataFrame({"raster_id": part["raster_id"].iloc[0], "row": row, "col": at, "src_row": [found[i] for i in best], "src_col": [columns[i] for i in best]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("raster_id", "row", "col", "src_row", "src_col")})
+
+    keyed = seen.unionByName(asking).withColumn("block", F.expr(f"row div {ROWS}"))
+    done = keyed.groupBy("raster_id", "block").applyInPandas(along, f"raster_id {pixels.schema['raster_id'].dataType.simpleString()}, row int, col int, src_row int, src_col int")
+    return targets.join(cut(done, "nearest"), ["raster_id", "row", "col"], "left")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import palette as pal
 from ..operators import grid, masks as mk, runs as rn
-from ..oracle.base import components, dilate, erode, sql
+from ..oracle.base import boxes, components, dilate, erode, sql
 from ..session import attach, bounded
 from .fixtures import classes, labels13, labelled, raster_meta, scene, sized
 from .q_features import GAUSS_CTES, HSV_SQL
@@ -98,7 +98,20 @@ def fill_holes(spark, sf):
     return rn.pixels_of(rn.fill_holes(runs, d))
 
 
-@query("component_shape", "raster_id:i comp:l area:l contour_area:d6 hull_area:d6 solidity:d6 extent:d6 aspect:d6")
+# Hull by support lines: a directed pair of end pixels with no other on its right is an edge of it.
+_HULL = {
+    "ends": "SELECT raster_id, comp, row AS y, unnest([min(col), max(col)]) AS x FROM filled_cc GROUP BY raster_id, comp, row",
+    "pts": "SELECT DISTINCT raster_id, comp, x, y FROM ends",
+    "sides": """SELECT p.raster_id, p.comp, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM pts p JOIN pts q ON p.raster_id = q.raster_id AND p.comp = q.comp AND (p.x, p.y) <> (q.x, q.y)
+        WHERE NOT EXISTS (SELECT 1 FROM pts o WHERE o.raster_id = p.raster_id AND o.comp = p.comp AND ((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0
+            OR (q.x - p.x) * (o.y - p.y) = (q.y - p.y) * (o.x - p.x) AND (o.x - p.x) * (o.x - q.x) + (o.y - p.y) * (o.y - q.y) > 0))""",
+    "hulls": "SELECT raster_id, comp, sum(px * qy - qx * py) / 2 AS hull_area FROM sides GROUP BY raster_id, comp",
+}
+
+
+@query("component_shape", "raster_id:i area:l contour_area:d6 hull_area:d6 solidity:d6 extent:d6 aspect:d6 r0:i q0:i", sql(LAB, """SELECT b.raster_id, area, contour_area, coalesce(hull_area, 0) AS hull_area,
+    CASE WHEN hull_area > 0 THEN contour_area / hull_area ELSE 0 END AS solidity, contour_area / (bw * bh) AS extent, greatest(bw, bh) / least(bw, bh) AS aspect, r0, c0 AS q0
+    FROM filled_box b JOIN filled_area USING (raster_id, comp) LEFT JOIN hulls USING (raster_id, comp)""", **MASK, **_filled("mask", "filled"), **components("filled", 8), filled_box=boxes("filled"), **_areas("filled"), **_HULL))
 def component_shape(spark, sf):
     runs, d = road_mask(spark, sf)
     return mk.component_shape(rn.components(rn.fill_holes(runs, d), connectivity=8))

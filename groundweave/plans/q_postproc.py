@@ -271,7 +271,7 @@ def ring_stats(spark, sf):
     t="SELECT raster_id, row, col FROM lab WHERE label = 13", s="SELECT raster_id, row, col FROM lab WHERE label IN (2, 10)", nn=_nearest("t", "s")))
 def nearest_source(spark, sf):
     px = lab(spark, sf)
-    return rn.nearest_source(px.where("label = 13").select("raster_id", "row", "col"), px, "label IN (2, 10)", start=4, tile=32)
+    return rn.nearest_source(px.where("label = 13").select("raster_id", "row", "col"), px, "label IN (2, 10)")
 
 
 # --- flagship ------------------------------------------------------------------------

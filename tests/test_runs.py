@@ -99,17 +99,32 @@ def test_fill_holes_leaves_open_bays(raster):
     assert cells(rn.fill_holes(runs, dims)) == cells(runs) | {(2, 2), (2, 3), (3, 2), (3, 3)}
 
 
-@pytest.mark.parametrize("start,tile", [(16, 256), (1, 4)])
-def test_nearest_source_with_ties_and_far_targets(raster, start, tile):
+@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+def test_nearest_source_with_ties_and_far_targets(raster, seed):
     m = np.zeros((13, 22), int)
-    m[2, 1] = m[9, 3] = m[5, 5] = m[2, 5] = 1
-    px = raster(m=m)
-    got = {(r["row"], r["col"]): (r["src_row"], r["src_col"])
-           for r in rn.nearest_source(px.where("m = 0").select("raster_id", "row", "col"), px, "m = 1", start, tile).collect()}
+    if seed is None:
+        m[2, 1] = m[9, 3] = m[5, 5] = m[2, 5] = 1
+    else:
+        m = (np.random.default_rng(seed).random((13, 22)) < seed * 0.03).astype(int)
+    px = raster(m=m).unionByName(raster(7, m=np.zeros((2, 3), int)))  # the second has no sources
+    got = {(r["raster_id"], r["row"], r["col"]): (r["src_row"], r["src_col"])
+           for r in rn.nearest_source(px.where("m = 0").select("raster_id", "row", "col"), px, "m = 1").collect()}
     sources = [(y, x) for y, x in zip(*np.nonzero(m))]
-    assert len(got) == 13 * 22 - 4
-    for (y, x), src in got.items():
-        assert src == min(sources, key=lambda s: ((s[0] - y) ** 2 + (s[1] - x) ** 2, s))
+    assert len(got) == 13 * 22 - len(sources) + 6
+    for (raster_id, y, x), src in got.items():
+        assert src == ((None, None) if raster_id == 7 else min(sources, key=lambda s: ((s[0] - y) ** 2 + (s[1] - x) ** 2, s)))
+
+
+def test_lower_envelope_takes_the_cheapest_everywhere():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        width = int(rng.integers(1, 30))
+        columns = sorted(rng.choice(width, int(rng.integers(1, width + 1)), replace=False).tolist())
+        found, row = rng.integers(0, 12, len(columns)).tolist(), int(rng.integers(0, 12))
+        starts, kept = rn.lower_envelope(columns, found, row, 12, width)
+        for x in range(width):
+            best = kept[int(np.searchsorted(starts, x, side="right")) - 1]
+            assert best == min(range(len(columns)), key=lambda i: ((columns[i] - x) ** 2 + (found[i] - row) ** 2, found[i], columns[i]))
 
 
 def test_nearest_source_without_sources(raster):
@@ -156,3 +171,30 @@ def test_detector_tiles_keep_each_pixel_once(raster):
     px = raster(b1=m * 10, b2=m * 200, b3=m * 10)
     found = mk.detect_tiled(px, lambda t: rn.runs_of(t.where("b2 > 100")), size=8, overlap=2)
     assert found.count() == found.distinct().count() == 9 * 23
+
+
+def test_hull_of_tall_and_random_components(raster, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = rng.random((40, 30)) < 0.62
+    px = raster(m=m.astype(int))
+    comps = rn.components(rn.runs_of(px.where("m = 1")), connectivity=8)
+    members = {}
+    for r in comps.collect():
+        members.setdefault(r["comp"], []).extend((x, r["row"]) for x in range(r["c0"], r["c1"] + 1))
+
+    def area(points):
+        """By support lines: the directed pairs that have no point on their right."""
+        points, total = sorted(set(points)), 0
+        for p in points:
+            for q in points:
+                turns = [(q[0] - p[0]) * (o[1] - p[1]) - (q[1] - p[1]) * (o[0] - p[0]) for o in points]
+                if p != q and min(turns) >= 0 and all(t or min(p, q) <= o <= max(p, q) for t, o in zip(turns, points)):
+                    total += p[0] * q[1] - q[0] * p[1]
+        return total / 2
+
+    for rows in (512, 3):
+        monkeypatch.setattr(mk, "HULL_ROWS", rows)
+        got = {r["comp"]: r["hull_area"] for r in mk.hull_area(comps).collect()}
+        assert got == {c: area(p) for c, p in members.items() if len(p) < 60} | {c: got[c] for c, p in members.items() if len(p) >= 60}
+        largest = max(members, key=lambda c: len(members[c]))
+        assert got[largest] == area([p for p in members[largest] if (p[0] - 1, p[1]) not in members[largest] or (p[0] + 1, p[1]) not in members[largest]])
