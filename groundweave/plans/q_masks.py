@@ -50,6 +50,25 @@ def _areas(mask):
         SELECT raster_id, comp, row - dy AS qr, col - dx AS qc, count(*) AS n FROM {mask}_cc, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx) GROUP BY ALL) GROUP BY ALL"""}
 
 
+# Hull by support lines: a directed pair of end pixels with no other on its right is an edge of it.
+def _hulls(mask):
+    return {
+        "ends": f"SELECT raster_id, comp, row AS y, unnest([min(col), max(col)]) AS x FROM {mask}_cc GROUP BY raster_id, comp, row",
+        "pts": "SELECT DISTINCT raster_id, comp, x, y FROM ends",
+        "sides": """SELECT p.raster_id, p.comp, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM pts p JOIN pts q ON p.raster_id = q.raster_id AND p.comp = q.comp AND (p.x, p.y) <> (q.x, q.y)
+        WHERE NOT EXISTS (SELECT 1 FROM pts o WHERE o.raster_id = p.raster_id AND o.comp = p.comp AND ((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0
+            OR (q.x - p.x) * (o.y - p.y) = (q.y - p.y) * (o.x - p.x) AND (o.x - p.x) * (o.x - q.x) + (o.y - p.y) * (o.y - q.y) > 0))""",
+        "hulls": "SELECT raster_id, comp, sum(px * qy - qx * py) / 2 AS hull_area FROM sides GROUP BY raster_id, comp",
+    }
+
+
+def _shapes(mask):
+    """Box, contour and hull of every 8-connected component of a mask without holes."""
+    return {**components(mask, 8), f"{mask}_box": boxes(mask), **_areas(mask), **_hulls(mask),
+        "shapes": f"""SELECT b.raster_id, b.comp, area, contour_area, coalesce(hull_area, 0) AS hull_area, CASE WHEN hull_area > 0 THEN contour_area / hull_area ELSE 0 END AS solidity,
+            contour_area / (bw * bh) AS extent, greatest(bw, bh) / least(bw, bh) AS aspect, r0, c0 AS q0 FROM {mask}_box b JOIN {mask}_area USING (raster_id, comp) LEFT JOIN hulls USING (raster_id, comp)"""}
+
+
 def _duck(text):
     import re
     return re.sub(r"(\S+) \* 3 div 10", r"(\1 * 3 // 10)", text)
@@ -71,7 +90,9 @@ def detect_fields(spark, sf):
     return mk.detect_tiled(sized(scene(spark, sf)), mk.detect_fields)
 
 
-@query("detect_buildings", PX)
+@query("detect_buildings", PX, sql(DEPS, "SELECT * FROM found", hsv=HSV_SQL, m0=f"SELECT raster_id, row, col FROM hsv WHERE {mk.BUILDING}", **_clean("m", "m0", rn.ellipse(3), rn.rect(9)),
+    **_filled("mc", "mf"), **_shapes("mf"), found="""SELECT c.raster_id, c.row, c.col FROM mf_cc c JOIN shapes s USING (raster_id, comp) JOIN dims USING (raster_id)
+        WHERE contour_area >= greatest(300, height * width * 0.0015) AND contour_area <= height * width * 0.35 AND hull_area > 0 AND solidity >= 0.55 AND aspect <= 7 AND extent >= 0.35"""))
 def detect_buildings(spark, sf):
     return mk.detect_tiled(sized(scene(spark, sf)), mk.detect_buildings)
 
@@ -98,20 +119,7 @@ def fill_holes(spark, sf):
     return rn.pixels_of(rn.fill_holes(runs, d))
 
 
-# Hull by support lines: a directed pair of end pixels with no other on its right is an edge of it.
-_HULL = {
-    "ends": "SELECT raster_id, comp, row AS y, unnest([min(col), max(col)]) AS x FROM filled_cc GROUP BY raster_id, comp, row",
-    "pts": "SELECT DISTINCT raster_id, comp, x, y FROM ends",
-    "sides": """SELECT p.raster_id, p.comp, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM pts p JOIN pts q ON p.raster_id = q.raster_id AND p.comp = q.comp AND (p.x, p.y) <> (q.x, q.y)
-        WHERE NOT EXISTS (SELECT 1 FROM pts o WHERE o.raster_id = p.raster_id AND o.comp = p.comp AND ((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0
-            OR (q.x - p.x) * (o.y - p.y) = (q.y - p.y) * (o.x - p.x) AND (o.x - p.x) * (o.x - q.x) + (o.y - p.y) * (o.y - q.y) > 0))""",
-    "hulls": "SELECT raster_id, comp, sum(px * qy - qx * py) / 2 AS hull_area FROM sides GROUP BY raster_id, comp",
-}
-
-
-@query("component_shape", "raster_id:i area:l contour_area:d6 hull_area:d6 solidity:d6 extent:d6 aspect:d6 r0:i q0:i", sql(LAB, """SELECT b.raster_id, area, contour_area, coalesce(hull_area, 0) AS hull_area,
-    CASE WHEN hull_area > 0 THEN contour_area / hull_area ELSE 0 END AS solidity, contour_area / (bw * bh) AS extent, greatest(bw, bh) / least(bw, bh) AS aspect, r0, c0 AS q0
-    FROM filled_box b JOIN filled_area USING (raster_id, comp) LEFT JOIN hulls USING (raster_id, comp)""", **MASK, **_filled("mask", "filled"), **components("filled", 8), filled_box=boxes("filled"), **_areas("filled"), **_HULL))
+@query("component_shape", "raster_id:i area:l contour_area:d6 hull_area:d6 solidity:d6 extent:d6 aspect:d6 r0:i q0:i", sql(LAB, "SELECT * FROM shapes", **MASK, **_filled("mask", "filled"), **_shapes("filled")))
 def component_shape(spark, sf):
     runs, d = road_mask(spark, sf)
     return mk.component_shape(rn.components(rn.fill_holes(runs, d), connectivity=8))
@@ -220,7 +228,8 @@ def extract_water(spark, sf):
     return mk.extract_features(sized(scene(spark, sf)), "water")
 
 
-@query("extract_buildings", "suffix:s mask_order:i raster_id:i row:i col:i r:i g:i b:i")
+@query("extract_buildings", "suffix:s mask_order:i raster_id:i row:i col:i r:i g:i b:i", sql(DEPS,
+    "SELECT 'buildings' AS suffix, 1 AS mask_order, raster_id, row, col, 180 AS r, 180 AS g, 180 AS b FROM bld2", bld=ORACLES["detect_buildings"], **_closed("bld")))
 def extract_buildings(spark, sf):
     return mk.extract_features(sized(scene(spark, sf)), "buildings")
 
