@@ -126,12 +126,14 @@ def classify_batch_overlay(spark, sf):
     return done.join(results.select("raster_id", "output"), "raster_id")
 
 
-@query("batch_summary", "grp:i n:l ok:l status:s message:s first_output:s", sql("scene dims", """SELECT raster_id % 2 AS grp, count(*) AS n, count(*) FILTER (WHERE ok) AS ok,
+@query("batch_summary", "grp:i n:l ok:l status:s message:s first_output:s outputs:s failed:s", sql("scene dims", """SELECT raster_id % 2 AS grp, count(*) AS n, count(*) FILTER (WHERE ok) AS ok,
     CASE WHEN bool_or(ok) THEN 'ok' ELSE 'error' END AS status, 'Batch complete: ' || count(*) FILTER (WHERE ok) || '/' || count(*) || ' succeeded' AS message,
-    min(output) FILTER (WHERE ok) AS first_output FROM (SELECT raster_id + o AS raster_id, o = 0 AS ok, '/out/scene_' || (raster_id + o) || '_classified.tif' AS output FROM dims, (SELECT unnest([0, 100000]) AS o)) GROUP BY raster_id % 2"""))
+    min(output) FILTER (WHERE ok) AS first_output, string_agg(output, '|' ORDER BY output) FILTER (WHERE ok) AS outputs,
+    string_agg(raster_id || ': raster not found', '|' ORDER BY raster_id) FILTER (WHERE NOT ok) AS failed FROM (SELECT raster_id + o AS raster_id, o = 0 AS ok, '/out/scene_' || (raster_id + o) || '_classified.tif' AS output FROM dims, (SELECT unnest([0, 100000]) AS o)) GROUP BY raster_id % 2"""))
 def batch_summary(spark, sf):
     results = pl.batch_results(requested(spark, sf), scene(spark, sf)).withColumn("grp", F.expr("cast(raster_id % 2 AS int)"))
-    return pl.batch_summary(results, ["grp"])
+    return pl.batch_summary(results, ["grp"]).withColumns({
+        "outputs": F.array_join("output_paths", "|"), "failed": F.array_join(F.expr("transform(errors, e -> concat(e.raster_id, ': ', e.message))"), "|")})
 
 
 @query("stage_table", "task_id:l stage:s seconds:d3 time_text:s share_text:s", sql("", """SELECT task_id, stage, seconds, CASE WHEN seconds < 0.01 THEN '<0.01s' WHEN seconds < 60 THEN printf('%.2fs', seconds)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 POINTS = "ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
 GEOM_SCHEMA = f"layer_idx INT, feature_id BIGINT, kind STRING, parts {POINTS}, epsg INT"
-_GEOJSON = "type STRING, properties STRING, geometry STRUCT<type: STRING, coordinates: STRING>"
+_GEOMETRY = "STRUCT<type: STRING, coordinates: STRING>"
+_GEOJSON = f"type STRING, id STRING, properties STRING, geometry {_GEOMETRY}, features ARRAY<STRUCT<id: STRING, properties: STRING, geometry: {_GEOMETRY}>>"
 
 
 def scan_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -18,10 +19,17 @@ def drop_empty(geoms: DataFrame) -> DataFrame:
     return geoms.where("parts IS NOT NULL AND size(flatten(parts)) > 0")
 
 
-def scan_geojson(spark: SparkSession, path: str, layer_idx: int = 0, epsg: int = 4326) -> DataFrame:
-    """GeoJSON features, one per line; multi-part kinds give one row per part set."""
-    raw = spark.read.schema(_GEOJSON).json(path).where("geometry IS NOT NULL").select(
-        F.get_json_object("properties", "$.id").cast("bigint").alias("feature_id"),
+def scan_geojson(spark: SparkSession, path: str, layer_idx: int = 0, epsg: int = 4326, lines: bool = True) -> DataFrame:
+    """GeoJSON features and feature collections; multi-part kinds give one row per part set.
+
+    ``lines``: every line is a feature or a collection, so that a file is read by many tasks;
+    without it every file is one of either, over as many lines as it likes, and its features
+    are spread over tasks once read. The id is that of the properties, else the feature's own.
+    """
+    read = spark.read.schema(_GEOJSON).option("multiLine", not lines).json(path)
+    every = read.selectExpr("explode(CASE WHEN type = 'FeatureCollection' THEN features ELSE array(named_struct('id', id, 'properties', properties, 'geometry', geometry)) END) AS f").select("f.*")
+    raw = (every if lines else every.repartition(spark.sparkContext.defaultParallelism)).where("geometry IS NOT NULL").select(
+        F.coalesce(F.get_json_object("properties", "$.id"), "id").try_cast("bigint").alias("feature_id"),
         "geometry.type", "geometry.coordinates",
     )
     depth = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}

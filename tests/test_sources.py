@@ -1,3 +1,4 @@
+import pytest
 import json
 import os
 
@@ -72,6 +73,19 @@ def test_geojson_kinds(spark, tmp_path):
     assert sorted((r.feature_id, r.kind, len(r.parts)) for r in rows) == [(0, "point", 1), (1, "line", 1), (2, "polygon", 2), (3, "polygon", 1), (3, "polygon", 1)]
 
 
+@pytest.mark.parametrize("lines, indent", [(True, None), (False, None), (False, 2)])
+def test_feature_collections(spark, tmp_path, lines, indent):
+    point = lambda x: {"type": "Point", "coordinates": [x, 1.5]}
+    whole = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "id": 7, "properties": {"name": "a"}, "geometry": point(1)}, {"type": "Feature", "id": "x", "properties": {"id": 8}, "geometry": point(2)},
+        {"type": "Feature", "properties": None, "geometry": point(3)}, {"type": "Feature", "id": 9, "properties": {}, "geometry": None}]}
+    (tmp_path / "a.json").write_text(json.dumps(whole, indent=indent) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({"type": "Feature", "properties": {"id": 4}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}, indent=indent))
+    (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": []}, indent=indent))
+    got = {(r.feature_id, r.kind, r.parts[0][0].x) for r in vs.scan_geojson(spark, str(tmp_path), lines=lines).collect()}
+    assert got == {(7, "point", 1.0), (8, "point", 2.0), (None, "point", 3.0), (4, "polygon", 0.0)}
+
+
 def test_next_pow2(spark):
     df = spark.range(1, 70).selectExpr("id AS n", f"{geo.next_pow2('cast(id AS int)')} AS p")
     assert all(r.p == 1 << (r.n - 1).bit_length() for r in df.collect())
