@@ -65,7 +65,7 @@ def test_exact_percentile_for_any_distribution(spark):
     rows = [(0, float(v)) for v in values] + [(1, 3.0)]
     df = spark.createDataFrame(rows, "k INT, v DOUBLE")
     for p in (0.5, 0.95, 0.98):
-        got = {r["k"]: r["q"] for r in stats.percentile(df, ["k"], "v", p, "q", buckets=16).collect()}
+        got = {r["k"]: r["q"] for r in stats.percentile(df, ["k"], "v", p, "q", small=16).collect()}
         assert got[0] == pytest.approx(np.percentile(values, p * 100)) and got[1] == 3.0
 
 
