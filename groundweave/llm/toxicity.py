@@ -25,7 +25,6 @@ toxic if one says so; null labels and null doc_ids teach nothing.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -61,9 +60,18 @@ def windows(found: list[str]) -> list[bytes]:
 def marking_text(toxic: list[list[str]], ordinary: list[list[str]]) -> list[bytes]:
     """The toxic texts without the words that don't mark them, equal ones once."""
     # distinct places: copies of a text repeat a word beside the same neighbour and count once
-    seen = [Counter(w for _, w in {pair for t in side for pair in zip(["", *t], t)}) for side in (toxic, ordinary)]
+    ids = {"": 0}
+
+    def places(side: list[list[str]]) -> np.ndarray:
+        pairs = np.zeros(0, np.int64)
+        for at in range(0, len(side), 500):
+            found = [np.array([0, *(ids.setdefault(w, len(ids)) for w in t)], dtype=np.int64) for t in side[at:at + 500]]
+            pairs = np.unique(np.concatenate([pairs, *(a[:-1] << 32 | a[1:] for a in found)]))
+        return np.bincount(pairs & (1 << 32) - 1, minlength=len(ids))
+
+    seen = [places(side).tolist() for side in (toxic, ordinary)]
     least = max(4, round(SUPPORT * len(toxic)))
-    marks = {w for w, n in seen[0].items() if n >= least and n * len(ordinary) >= SHARPNESS * seen[1][w] * len(toxic)}
+    marks = {w for w, i in ids.items() if i < len(seen[0]) and seen[0][i] >= least and seen[0][i] * len(ordinary) >= SHARPNESS * seen[1][i] * len(toxic)}
     kept = (" ".join(w for w in t if w in marks) for t in toxic)
     return sorted({f" {t} ".encode() for t in kept if t})
 
@@ -152,7 +160,8 @@ def cut_between(ordinary: np.ndarray, toxic: np.ndarray) -> float:
 
 def fit(rows: list[tuple[int, str, int]]) -> Model | float:
     """rows: (doc_id, text, toxic). The dictionaries learn from one half, the curve from the other."""
-    texts = {k: [(doc, tokens(t)) for doc, t, y in sorted(rows) if y == k] for k in (0, 1)}
+    known: dict[str, str] = {}  # equal words are one string
+    texts = {k: [(doc, [known.setdefault(w, w) for w in tokens(t)]) for doc, t, y in sorted(rows) if y == k] for k in (0, 1)}
     if not texts[0] or not texts[1]:
         return float(bool(texts[1]))
     small = len(texts[1]) < 60  # too few to part
