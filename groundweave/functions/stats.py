@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import attach, cut
+from ..session import attach, bounded, cut
 
 
 def small_domain_percentile(df: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
@@ -34,7 +34,7 @@ def percentile(df: DataFrame, keys: list[str], value: str, p: float, out: str, s
         return percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, p, out, small).drop("_all")
     rows = cut(df.where(F.abs(F.col(value)) < float("inf")).select(*keys, F.col(value).cast("double").alias("v")), "values")
     first = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    brackets = cut(first.selectExpr(*keys, "lo", "hi", "n", "0L AS below", f"(n - 1) * {p!r}D AS rank"), "brackets")
+    brackets = bounded(first.selectExpr(*keys, "lo", "hi", "n", "0L AS below", f"(n - 1) * {p!r}D AS rank"))
     still = f"lo < hi AND n > {small}"
     while not brackets.where(still).isEmpty():
         wide = brackets.where(still)
@@ -54,7 +54,7 @@ def percentile(df: DataFrame, keys: list[str], value: str, p: float, out: str, s
             WHEN t < n1 + n2 THEN {part('least', 'most', 'n2', 'below + n0 + n1')}
             WHEN t < n1 + n2 + n3 THEN {part('b', 'b', 'n3', 'below + n0 + n1 + n2')}
             ELSE {part('after', 'hi', 'n - n0 - n1 - n2 - n3', 'below + n0 + n1 + n2 + n3')} END AS x""")
-        brackets = cut(narrowed.select(*keys, "x.*", "rank").unionByName(brackets.where(f"NOT ({still})")), "brackets")
+        brackets = bounded(narrowed.select(*keys, "x.*", "rank").unionByName(brackets.where(f"NOT ({still})")))
     found = attach(rows, brackets, keys, "inner").groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.expr(f"CASE WHEN n <= {small} AND lo < hi AND v BETWEEN lo AND hi THEN v END"))).alias("vs"),  # small rows at most
         F.min(F.expr("CASE WHEN v > hi THEN v END")).alias("next"), *[F.first(c).alias(c) for c in ("lo", "n", "below", "rank")])
